@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import op3_token_files
+from . import op1_decontaminate, op3_token_files, op5_quality, op6_packing, op9_simhash, op10_warc
 
-QUERIES = {"op3_token_files": op3_token_files.op3_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_decontamination": op1_decontaminate.op1_decontamination,
+    "op3_token_files": op3_token_files.op3_token_files,
+    "op5_quality_rules": op5_quality.op5_quality_rules,
+    "op6_curve_packing": op6_packing.op6_curve_packing,
+    "op9_simhash_near_dedup": op9_simhash.op9_simhash_near_dedup,
+    "op10_warc": op10_warc.op10_warc,
+}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": op5_quality.ORACLE,
+    "op10_warc": op10_warc.ORACLE,
+}

@@ -67,3 +67,50 @@ def open_fs(uri: str):
 
 def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def lookup(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int, many: str = "n") -> DataFrame:
+    """rows joined with the one row of `keyed` for their key (inner), safe from hot keys.
+
+    `keyed` holds in `many` how many of `rows` have its key.  Keys of more than
+    n_rows / HOT rows (at least 100) are fewer than HOT, so their rows of `keyed`
+    are broadcast and their rows stay where they are; the others meet in a shuffle.
+    Both inputs should be stored: each is read twice.
+    """
+    at = max(100, n_rows // HOT)
+    hot = F.broadcast(keyed.filter(F.col(many) > at).drop(many))
+    cold = keyed.filter(F.col(many) <= at).drop(many)
+    columns = [*rows.columns, *(c for c in cold.columns if c != key)]
+    warm = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).select(columns).unionByName(warm.select(columns))
+
+
+#: Most keys whose rows lookup() broadcasts.
+HOT = 10_000
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the least node reachable over the undirected edges, for each node of an edge.
+
+    Alternating large-star and small-star steps; each writes its edges to the shared
+    storage, so no lineage builds up.  Hubs go through lookup().
+    """
+    spark = edges.sparkSession
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    n, before = now.count(), None
+    while n:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = lookup(both, least, "u", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.distinct(), "large")
+        # Every u has smaller neighbours only; all are linked to the least of them.
+        small = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small")
+        linked = lookup(large, small, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stored(linked.unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        total = after.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        now, n = after, total["n"]
+        if before == (total["n"], total["h"]):
+            break
+        before = (total["n"], total["h"])
+    roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
