@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import reports
+
+QUERIES: dict = {**reports.QUERIES}
+ORACLES: dict[str, str] = {**reports.ORACLES}
