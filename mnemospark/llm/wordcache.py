@@ -23,7 +23,7 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE = 500_000
+CACHE = 600_000
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|  |\n\n| \n|\n ")
 _LOADED: dict[tuple[str, int], "WordCache"] = {}
 
@@ -83,7 +83,7 @@ class WordCache:
                 self.kind = "wordend"
         self.alphabet = byte_alphabet()
         self.model = self.tok.model
-        self.pieces = _Dict2(self._piece, cache)
+        self.pieces = _Dict2(self._piece, cache // 4)
         self.first = _Dict2(self._chunk, max(1000, cache // 8))
         self.mid = _Dict2(lambda w: self._chunk(" " + w), cache) if self.kind == "gpt2" else _Dict2(self._chunk, cache)
         self.newline = self._whole("\n") if self.kind == "gpt2" else b""
@@ -97,7 +97,10 @@ class WordCache:
         return pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        word = piece.encode().decode("latin-1").translate(self.alphabet)
+        if piece.isascii() and piece.lstrip(" ").isalnum():
+            word = piece.replace(" ", self.alphabet[32])
+        else:
+            word = piece.encode().decode("latin-1").translate(self.alphabet)
         return pack([t.id for t in self.model.tokenize(word)])
 
     def _chunk(self, chunk: str) -> bytes:
@@ -106,7 +109,12 @@ class WordCache:
         if not chunk.isascii() and max(chunk) >= "ɐ":  # newer letters: as the library's own Unicode tables have it
             return self._whole(chunk)
         if self.kind == "wordend":
-            chunk = self.tok.normalizer.normalize_str(chunk)
+            chunk = chunk.lower() if chunk.isascii() else self.tok.normalizer.normalize_str(chunk)
+        if chunk.lstrip(" ").isalpha():  # one piece, kept as chunk only
+            return self._piece(chunk)
+        if chunk[-1] in ".,;:!?" and chunk[:-1].lstrip(" ").isalpha():  # a word and its mark
+            word = chunk[:-1]
+            return (self.mid[word[1:]] if word[0] == " " else self.mid[word] if self.kind == "wordend" else self.first[word]) + self.pieces[chunk[-1]]
         pieces = self.cut(chunk)
         return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join([self.pieces[p] for p in pieces])
 
