@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import reports
+from .plans import reports, search
 
-QUERIES: dict = {**reports.QUERIES}
-ORACLES: dict[str, str] = {**reports.ORACLES}
+QUERIES: dict = {**search.QUERIES, **reports.QUERIES}
+ORACLES: dict[str, str] = {**search.ORACLES, **reports.ORACLES}
