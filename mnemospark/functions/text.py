@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Query stop words.
 STOPWORDS = (
@@ -108,7 +109,7 @@ def canonical_name(key: Column) -> Column:
     return F.when(name == "", key).otherwise(name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, of the lower-cased text with white space collapsed; 16 hex digits."""
 
@@ -123,7 +124,7 @@ def fingerprint(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Without diacritics (NFD, combining marks dropped)."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
