@@ -108,7 +108,7 @@ RULES = {
     "short_words": lambda t: t.word_chars < 3 * t.n_words,
     "long_words": lambda t: t.word_chars > 12 * t.n_words,
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
-    "repeated_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
+    "repeated_lines": lambda t: 10 * t.n_dup_lines > 6 * len(t.lines),
     "shouting": lambda t: 2 * t.n_shouts > t.n_words,
     "bullets": lambda t: 10 * t.n_bullets > 9 * len(t.lines),
     "cut_lines": lambda t: 10 * t.n_cut_lines > 3 * len(t.lines),
@@ -196,7 +196,7 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_repl
   FROM w LEFT JOIN n USING (k)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words > 100000 OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+  NOT base_failed AND NOT (n_words > 100000 OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 6 * n_lines
     OR 2 * n_shouts > n_words OR 10 * n_bullets > 9 * n_lines OR 10 * n_cut > 3 * n_lines) AS kept
 FROM b
 """
