@@ -386,3 +386,87 @@ def vector_blob_round_trip(spark, sf):
 def verify_metadata(spark, sf):
     m = view(spark, sf, "mem").withColumn("j", F.concat(F.lit('{"project":"p'), F.col("doc_id") % 5, F.lit('","verified_at":"old"}')))
     return m.select("memory_id", lifecycle.merge_map(F.col("j"), verified_at=F.lit("2024-02-01"), verified_against=F.col("source")).alias("metadata"))
+
+
+# --- reranking, seeds, mentions, evidence contracts --------------------------------
+@query("rerank_overlap", BM25 + ", c AS (SELECT r.query_id, r.id, r.rank, q.terms, list_distinct(" + TOK.format("substr(d.text, 1, 512)") + ") AS w FROM r JOIN q USING (query_id) JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 16), z AS (SELECT query_id, id, rank, round(len(list_intersect(terms, w)) / len(terms), 6) AS score FROM c) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM z")
+def rerank_overlap(spark, sf):
+    """The best 16 of each query, reordered by a scorer over the query and 512 characters."""
+    from ..operators import rerank
+
+    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], 16)
+    pairs = best.join(corpus(spark, sf).withColumnRenamed("text", "document"), "id").join(items(spark, sf).withColumnRenamed("text", "query"), "query_id")
+    rows = rerank.ordered(rerank.scored(pairs).withColumn("consensus", F.lit(False)).withColumn("activation", F.lit(None).cast("double")))
+    return rows.select("query_id", "id", "score", "position")
+
+
+@query("order_scores_without_reranker", BM25 + "SELECT query_id, id, CAST(count(*) OVER (PARTITION BY query_id) - rank + 1 AS DOUBLE) AS order_score FROM (SELECT * FROM r WHERE rank <= 16)")
+def order_scores_without_reranker(spark, sf):
+    from ..operators import rerank
+
+    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], 16)
+    rows = best.withColumn("score", F.lit(None).cast("double")).withColumn("consensus", F.lit(False)).withColumn("activation", F.lit(None).cast("double"))
+    return rerank.ordered(rows).select("query_id", "id", "order_score")
+
+
+@query("consensus_flags", ARMS + "SELECT l.query_id, l.id, a.id IS NOT NULL AS consensus FROM l LEFT JOIN a ON a.query_id = l.query_id AND a.id = l.id")
+def consensus_flags(spark, sf):
+    from ..operators import rerank
+
+    lexical, semantic = arms(spark, sf)
+    both = lexical.withColumnRenamed("rank", "lr").join(semantic.withColumnRenamed("rank", "sr"), ["query_id", "id"], "left")
+    return both.select("query_id", "id", rerank.consensus(F.col("sr"), F.col("lr")).alias("consensus"))
+
+
+@query("seed_allocation", "WITH m AS (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal, 'o' || o_orderkey AS id, 0 AS source FROM orders), e AS (SELECT o.o_custkey, row_number() OVER (PARTITION BY o.o_custkey ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey), 'p' || l.l_partkey, 1 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey) SELECT query_id, id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal, source, id) AS position FROM (SELECT * FROM m UNION ALL SELECT * FROM e)) WHERE position <= 4")
+def seed_allocation(spark, sf):
+    from pyspark.sql import Window
+
+    from ..operators import rerank
+
+    o, li = read(spark, sf, "orders"), read(spark, sf, "lineitem")
+    by = lambda *c: F.row_number().over(Window.partitionBy("query_id").orderBy(*c))
+    m = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("k")).select("query_id", by("k").alias("ordinal"), F.concat(F.lit("o"), "k").alias("id"))
+    e = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("query_id"), "l_orderkey", "l_linenumber", "l_partkey")
+    e = e.select("query_id", by("l_orderkey", "l_linenumber", "l_partkey").alias("ordinal"), F.concat(F.lit("p"), "l_partkey").alias("id"))
+    return rerank.seeds(m, e, 4).select("query_id", "id", "position")
+
+
+@query("entity_mentions", "WITH t AS (SELECT p_partkey AS query_id, string_split(lower('the ' || p_name || ' of ' || p_type), ' ') AS w FROM part), n AS (SELECT name, min(id) AS entity_id FROM (SELECT DISTINCT lower(p_type) AS name, 't' AS id FROM part WHERE p_type = 'ECONOMY' UNION SELECT DISTINCT lower(string_split(p_name, ' ')[1]), 'a:' || lower(string_split(p_name, ' ')[1]) FROM part UNION SELECT 'of', 'x') GROUP BY name HAVING count(*) = 1) SELECT query_id, n.entity_id, i AS start, 1 AS length FROM (SELECT query_id, unnest(w) AS x, CAST(generate_subscripts(w, 1) AS BIGINT) AS i FROM t) s JOIN n ON n.name = s.x WHERE n.name <> 'of'")
+def entity_mentions(spark, sf):
+    p = read(spark, sf, "part")
+    q = p.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.lit("the"), "p_name", F.lit("of"), "p_type").alias("text"))
+    first = F.lower(F.split("p_name", " ")[0])
+    names = p.filter("p_type = 'ECONOMY'").select(F.lit("t").alias("entity_id"), F.col("p_type").alias("name")).unionByName(p.select(F.concat(F.lit("a:"), first).alias("entity_id"), first.alias("name"))).distinct()
+    return graph.spans(q, names.unionByName(spark.createDataFrame([("x", "of")], "entity_id string, name string")))
+
+
+@query("graph_context", NEAR.replace("b.depth < 3", "b.depth < 2") + ", x AS (SELECT a.seed, 'm' || e.edge_id AS memory_id, 0 AS arm, least(a.depth, c.depth) AS depth FROM e JOIN m a ON a.node = e.subject JOIN m c ON c.node = e.object AND c.seed = a.seed UNION ALL SELECT m.seed, 'c' || c.c_custkey, 1, m.depth FROM m JOIN customer c ON m.node = 'n' || c.c_nationkey), g AS (SELECT seed, memory_id, min(arm) AS arm, min(arm * 10 + depth) % 10 AS depth FROM x GROUP BY seed, memory_id), k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY arm, depth, memory_id) AS rank FROM g) SELECT seed, memory_id, CAST(arm AS BIGINT) AS arm, CAST(depth AS BIGINT) AS depth, rank FROM k WHERE rank <= 20")
+def graph_context(spark, sf):
+    edges, nodes = small_graph(spark, sf)
+    about = read(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("memory_id"), F.concat(F.lit("n"), "c_nationkey").alias("node"))
+    return graph.context(graph.reach(edges, nodes, 2), edges.withColumn("memory_id", F.concat(F.lit("m"), "edge_id")), about, 20)
+
+
+@query("evidence_edges", "SELECT l_orderkey * 100 + l_linenumber AS edge_id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
+def evidence_edges(spark, sf):
+    from ..operators import filters
+
+    meta = F.to_json(F.struct((F.col("l_returnflag") == "R").cast("string").alias("routing"), F.lit("evidence").alias("contract"), F.lit("1").alias("version")))
+    e = read(spark, sf, "lineitem").filter("l_linestatus = 'F'").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("edge_id"), F.lit("supplied_by").alias("rel_type"), meta.alias("metadata_json"))
+    return filters.evidence_edges(e, "evidence", "1").select("edge_id")
+
+
+@query("adjudication_guard", "SELECT event_id, CASE WHEN event_type <> 'signup' OR value > 20 THEN 'ok' ELSE 'refused' END AS verdict FROM events")
+def adjudication_guard(spark, sf):
+    from ..operators import filters
+
+    source = F.to_json(F.struct(F.when(F.col("event_type") == "signup", "capture").otherwise("manual").alias("type"), F.when(F.col("value") > 20, "yes").alias("adjudication")))
+    return read(spark, sf, "events").select("event_id", filters.adjudicated(source, False).alias("verdict"))
+
+
+@query("request_filters", "SELECT memory_id FROM mem WHERE space IN ('en', 'fr') AND status = 'active' AND kind IN ('fact', 'decision')")
+def request_filters(spark, sf):
+    from ..operators import filters
+
+    return view(spark, sf, "mem").filter(filters.spaces([" en", "fr"]) & filters.statuses(None) & filters.within(kind=["fact", "decision"], silo=[])).select("memory_id")
