@@ -4,8 +4,9 @@ Which bytes stand in a string of LENGTH bytes that also starts elsewhere?  In th
 suffix array of the corpus these are the suffixes whose neighbour shares LENGTH bytes.
 Prefix-free parsing finds that order from a dictionary and a parse:
 
-* Triggers: a rolling hash over W bytes is 0 modulo P.  A cut behind each trigger
-  makes phrases; wherever a string recurs, its inner cuts recur at the same places.
+* Triggers: a rolling hash over W bytes is 0 modulo P.  A cut behind each trigger makes
+  phrases; wherever a string recurs, its inner cuts recur at the same places.  A phrase
+  too long for a cut within reach is cut where its rolling hash is least.
 * A suffix is (rest of its phrase, the phrases that follow).  Suffixes agree on LENGTH
   bytes only if their first inner cut is equally far off and what stands around that
   cut agrees.  So all suffixes that begin before one cut are handled as one entry.
@@ -17,23 +18,27 @@ Prefix-free parsing finds that order from a dictionary and a parse:
 Entry of a cut c: key 1 names the bytes around the cut that all its suffixes hold, key
 2 names the whole region they reach.  Sorted by (key 1, key 2), a scan tells:
   full     the region recurs: all its suffixes are repeated;
-  partial  only the bytes around the cut recur: each suffix is named by itself in a
-           second sort, together with one region of every full class at that key;
+  partial  only the bytes around the cut recur: its suffixes are looked at more closely,
+           together with those of one region of every full class at that key;
   none     the cut's bytes occur once, and so do all its suffixes.
-In text without repeats nearly every entry is `none`, which is what the parse is for.
-Suffixes without an inner cut in reach are named by themselves at once.
+Closer looks: first in blocks of BLOCK suffixes, named in the same way by the bytes that
+all of a block hold and by their region, then suffix by suffix.  In text without repeats
+nearly every entry is `none`, which is what the parse is for.
 
 Entries of a name that a task holds more than once are merged before the shuffle, so
 a hot name has at most one row per task's piece of text; the scans keep one entry.
+Texts are written once, compressed, a file for each task of the first pass; later
+passes send the few places to the files instead of shuffling the texts.
 
 Defined cases: null text is empty (no bytes, nothing removed, digest of nothing); texts
-under LENGTH bytes are untouched; rows of equal or null doc_id are
-rows of their own; an empty table gives an empty result; further columns are ignored.
+under LENGTH bytes are untouched; rows of equal or null doc_id are rows of their own; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
@@ -43,8 +48,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-LENGTH, W, P, AROUND = 200, 12, 32, 16
+LENGTH, W, P, AROUND, BLOCK = 200, 12, 64, 48, 16
 PIECE = 1 << 20
+#: A place: first suffix << 32, bytes from it to its cut << 24, number of suffixes << 2, weight (1 or 2).
+RUN = 1 << 21
 ENTRY = "k1 long, k2 long, rid long, pos long"
 FULL, PARTIAL, SAMPLE = 0, 1, 2
 
@@ -97,99 +104,133 @@ def hashes() -> list[Hash]:
     return _HASHES
 
 
-def _runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """All places first..last of each run, where first <= last."""
-    n = np.maximum(last - first + 1, 0)
-    if not n.sum():
-        return np.zeros(0, dtype=np.int64)
-    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of each run."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of x[i : i + size] for each i; what is beyond the end counts as greatest."""
+    n = len(x)
+    blocks = -(-n // size) + 1
+    grid = np.full(blocks * size, np.iinfo(x.dtype).max, dtype=x.dtype)
+    grid[:n] = x
+    grid = grid.reshape(blocks, size)
+    left = np.minimum.accumulate(grid, axis=1).ravel()
+    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[size - 1 : size - 1 + n])
 
 
 def parse(data: np.ndarray, offsets: np.ndarray):
-    """Entries of the texts data[offsets[i]:offsets[i+1]]: key 1, key 2, text number, first suffix, number of suffixes."""
+    """Entries of the texts data[offsets[i]:offsets[i+1]]: key 1, key 2, text number, first suffix,
+    number of suffixes, bytes from the first suffix to the cut."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(data) < LENGTH:
+        return (none.view(np.uint64), none.view(np.uint64), none, none, none, none)
     a, b = hashes()
     sa, sb = a.sums(data), b.sums(data)
-    at = np.arange(W, len(data) + 1)
-    trigger = a.of(sa, at - W, at) < np.uint64((1 << 64) // P)
-    cut = at[trigger]
-    text = np.searchsorted(offsets, cut - W, side="right") - 1
-    inside = cut <= offsets[text + 1]
-    cut, text = cut[inside], text[inside]
-    begin, end = offsets[text], offsets[text + 1]
-    same = np.append(False, text[1:] == text[:-1])
-    reach = np.where(same, np.append(0, cut[:-1]) - W + 1, begin) if len(cut) else begin
-    low = np.maximum(reach, cut + AROUND - LENGTH)
-    low, high = np.maximum(low, begin), np.minimum(cut - W, end - LENGTH)
-    ok = low <= high
-    anchored = (cut[ok], text[ok], low[ok], high[ok])
-    # Suffixes with no cut in reach: before a far cut, and behind the last one.
-    loose_first = [reach]
-    loose_last = [np.minimum(high, cut + AROUND - LENGTH - 1)]
-    tail = offsets[:-1].copy()
-    np.maximum.at(tail, text, cut - W + 1)
-    loose_first.append(tail)
-    loose_last.append(offsets[1:] - LENGTH)
-    loose = _runs(np.concatenate(loose_first), np.concatenate(loose_last))
-    c, t, lo, hi = anchored
-    k1 = np.concatenate([a.of(sa, c - W, c + AROUND), a.of(sa, loose, loose + LENGTH)])
-    k2 = np.concatenate([_mix(b.of(sb, lo, hi + LENGTH) + (hi - lo).astype(np.uint64)), b.of(sb, loose, loose + LENGTH)])
-    t = np.concatenate([t, np.searchsorted(offsets, loose, side="right") - 1])
-    return k1, k2, t, np.concatenate([lo, loose]) - offsets[t], np.concatenate([hi - lo + 1, np.ones(len(loose), dtype=np.int64)])
-
-
-def merged(k1, k2, rid, first, count):
-    """Entry rows; those whose names are here more than once are marked as repeated, and only
-    the first of them keeps its name."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.arange(len(data) - W + 1)  # a cut at c has its trigger at c - W
+    rolling = a.of(sa, at, at + W)
+    inside = text[at] == text[at + W - 1]
+    far = np.int64(1 << 62)
+    trigger = np.where(inside & (rolling < np.uint64((1 << 64) // P)), at, far)
+    coming = np.minimum.accumulate(trigger[::-1])[::-1]
+    start = np.arange(len(data) - LENGTH + 1)
+    start = start[text[start] == text[start + LENGTH - 1]]
+    reach = LENGTH - W - AROUND
+    bits = np.uint64(len(data).bit_length())
+    key = np.where(inside, (rolling >> bits) << bits, np.uint64(2**64 - 1) >> bits << bits) | at.astype(np.uint64)
+    least = (_sliding_min(key, reach + 1)[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    cut = np.where(coming[start] <= start + reach, coming[start], least) + W
+    if not len(start):
+        return (none.view(np.uint64), none.view(np.uint64), none, none, none, none)
+    new = np.flatnonzero(np.append(True, (cut[1:] != cut[:-1]) | (start[1:] != start[:-1] + 1) | (text[start[1:]] != text[start[:-1]])))
+    first, last, c = start[new], start[np.append(new[1:], len(start)) - 1], cut[new]
+    k1 = a.of(sa, c - W, c + AROUND)
+    k2 = _mix(b.of(sb, first, last + LENGTH) + (last - first).astype(np.uint64))
+    return k1, k2, text[first], first - offsets[text[first]], last - first + 1, c - first
+
+
+def merged(k1, k2, rid, first, count, off):
+    """Entry rows.  Of entries with one name only the first goes by it, marked as repeated; the
+    others are known to be repeated, are joined to runs and get names of their own."""
     order = np.lexsort((k2, k1))
-    k1, k2, rid, first, count = (x[order] for x in (k1, k2, rid, first, count))
-    new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) if len(k1) else np.zeros(0, bool)
+    k1, k2, rid, first, count, off = (x[order] for x in (k1, k2, rid, first, count, off))
+    new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
     size = np.diff(np.append(np.flatnonzero(new), len(k1)))
-    twice = np.repeat(size > 1, size)
-    own = _mix(rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 & ~0xFF) + first.astype(np.uint64) + np.uint64(1))
-    k1, k2 = np.where(new, k1, own), np.where(new, k2, _mix(own))
-    pos = first << 32 | count << 8 | np.where(twice, 2, 1)
+    pos = first[new] << 32 | off[new] << 24 | count[new] << 2 | np.where(size > 1, 2, 1)
+    r, f, n = rid[~new], first[~new], count[~new]
+    o = np.lexsort((f, r))
+    r, f, n = r[o], f[o], n[o]
+    parts = [(k1[new], k2[new], rid[new], pos)]
+    if len(r):
+        head = np.append(True, (r[1:] != r[:-1]) | (f[1:] != f[:-1] + n[:-1]) | (f[1:] // RUN != f[:-1] // RUN))
+        at = np.flatnonzero(head)
+        total = np.add.reduceat(n, at)
+        own = _mix(_mix(r[at].astype(np.uint64)) + f[at].astype(np.uint64))
+        parts.append((own, _mix(own), r[at], f[at] << 32 | (total << 2) | 2))
+    k1, k2, rid, pos = (np.concatenate(x) for x in zip(*parts))
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (k1, k2, rid, pos)], names=["k1", "k2", "rid", "pos"])
 
 
-def pieces(batches, unpack):
-    """(data, offsets, rows) of consecutive texts, about PIECE bytes at a time."""
-    texts, rows, size = [], [], 0
-    for b in batches:
-        for row in zip(*(b.column(k) for k in range(b.num_columns))):
-            text, rest = unpack(row)
-            texts.append(text)
-            rows.append(rest)
-            size += len(text)
-            if size >= PIECE:
-                yield _joined(texts, rows)
-                texts, rows, size = [], [], 0
-    if texts:
-        yield _joined(texts, rows)
+def unpacked(pos: np.ndarray):
+    """First suffix, number of suffixes, bytes to the cut (runs have none and are never looked at closely)."""
+    return pos >> 32, pos >> 2 & 0x3FFFFF, pos >> 24 & 0xFF
+
 
+def pieces(rows):
+    """(data, offsets, rids, places) of consecutive texts (rid, doc_id, z, places), about PIECE bytes at a time."""
+    texts, rids, places, size = [], [], [], 0
 
-def _joined(texts, rows):
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts])), rows
+    def joined():
+        return np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64), np.array(rids, dtype=np.int64), places
+
+    for rid, _, z, pos in rows:
+        texts.append(zlib.decompress(z))
+        rids.append(rid)
+        places.append(pos)
+        size += len(texts[-1])
+        if size >= PIECE:
+            yield joined()
+            texts, rids, places, size = [], [], [], 0
+    if texts:
+        yield joined()
 
 
-def _entries(batches):
-    for data, offsets, rids in pieces(batches, lambda r: (zlib.decompress(r[1].as_py()), r[0].as_py())):
-        k1, k2, t, first, count = parse(data, offsets)
+def _entries(rows):
+    for data, offsets, rids, _ in pieces(rows):
+        k1, k2, t, *rest = parse(data, offsets)
         if len(k1):
-            yield merged(k1, k2, np.array(rids, dtype=np.int64)[t], first, count)
-
-
-def _suffixes(batches):
-    """Each suffix of the given entries, named by its LENGTH bytes."""
-    for data, offsets, rows in pieces(batches, lambda r: (zlib.decompress(r[1].as_py()), (r[0].as_py(), r[2].as_py()))):
-        begin = np.concatenate([np.array(x, dtype=np.int64) >> 32 for _, x in rows] or [np.zeros(0, np.int64)])
-        count = np.concatenate([np.array(x, dtype=np.int64) >> 8 & 0xFFFFFF for _, x in rows] or [np.zeros(0, np.int64)])
-        base = np.repeat(offsets[:-1], [len(x) for _, x in rows])
-        at = np.unique(_runs(base + begin, base + begin + count - 1))
-        t = np.searchsorted(offsets, at, side="right") - 1
-        (a, b), rids = hashes(), np.array([r for r, _ in rows], dtype=np.int64)
-        if len(at):
+            yield merged(k1, k2, rids[t], *rest)
+
+
+def _closer(block: int):
+    """Entries of `block` suffixes each for the places of the texts; of single suffixes for block = 1."""
+
+    def run(rows):
+        for data, offsets, rids, places in pieces(r for r in rows if r[3] is not None):
+            a, b = hashes()
             sa, sb = a.sums(data), b.sums(data)
-            yield merged(a.of(sa, at, at + LENGTH), b.of(sb, at, at + LENGTH), rids[t], at - offsets[t], np.ones(len(at), dtype=np.int64))
+            first, count, off = unpacked(np.concatenate(places))
+            begin = np.repeat(offsets[:-1], [len(x) for x in places]) + first
+            at = _runs(begin, count)
+            cut = np.repeat(begin + off, count)
+            at, once = np.unique(at, return_index=True)
+            cut = cut[once]
+            t = np.searchsorted(offsets, at, side="right") - 1
+            if block == 1:
+                one = np.ones(len(at), dtype=np.int64)
+                yield merged(a.of(sa, at, at + LENGTH), b.of(sb, at, at + LENGTH), rids[t], at - offsets[t], one, one)
+                continue
+            q = (cut - at) // block
+            head = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (cut[1:] != cut[:-1]) | (at[1:] != at[:-1] + 1)))
+            low, high, cut, q, t = at[head], at[np.append(head[1:], len(at)) - 1], cut[head], q[head], t[head]
+            k1 = _mix(a.of(sa, cut - block * q, cut - block * q - block + 1 + LENGTH) + q.astype(np.uint64))
+            k2 = _mix(b.of(sb, low, high + LENGTH) + ((high - low) * 512 + cut - low).astype(np.uint64))
+            yield merged(k1, k2, rids[t], low - offsets[t], high - low + 1, cut - low)
+
+    return run
 
 
 def _scan(batches):
@@ -204,7 +245,7 @@ def _scan(batches):
                 yield from _status(*[np.array([x]) for x in held[:5]], np.array([held[5]]), held[6], True)[0]
             return
         k1, k2, rid, pos = (np.asarray(b.column(k)) for k in range(4))
-        weight, emitted, others = pos & 0xFF, np.zeros(len(k1), dtype=bool), False
+        weight, emitted, others = pos & 3, np.zeros(len(k1), dtype=bool), False
         if held is not None:
             k1, k2, rid, pos, weight, emitted = (np.append(np.array([h], dtype=x.dtype), x) for h, x in zip(held[:6], (k1, k2, rid, pos, weight, emitted)))
             others = held[6]
@@ -245,38 +286,104 @@ def _status(k1, k2, rid, pos, weight, emitted, others, last):
     return out, held
 
 
-def _packed(batches):
-    from pyspark import TaskContext
+def write_texts(rows: DataFrame, folder: str) -> DataFrame:
+    """Texts in files of compressed batches; the manifest (part, path, n).  A text's rid is part << 33
+    and its number in the file.  Files of lost tasks stand in no manifest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
 
-    rid = TaskContext.get().partitionId() << 33
-    for b in batches:
-        for c in range(0, b.num_rows, 512):
-            part = b.slice(c, 512)
-            data = [zlib.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(data))), part.column(0), pa.array(data, pa.binary())], names=["rid", "doc_id", "z"])
-            rid += len(data)
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, at = shared.open_fs(folder)
+        part, name, out, n = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.arrow", None, 0
+        for b in batches:
+            for c in range(0, b.num_rows, 256):
+                some = b.slice(c, 256)
+                z = [zlib.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in some.column(1)]
+                out = out or pa.ipc.new_stream(fs.open_output_stream(f"{at}/{name}"), schema)
+                out.write_batch(pa.RecordBatch.from_arrays([some.column(0), pa.array(z, pa.binary())], schema=schema))
+                n += len(z)
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{name}"], "n": [n]})
+
+    return shared.stored(rows.mapInArrow(run, "part long, path string, n long"), "manifest", f"{folder}/_manifest")
+
+
+def with_texts(manifest: DataFrame, places: DataFrame | None, function, schema: str) -> DataFrame:
+    """function(rows (rid, doc_id, z, places of the text or None)) over every file; places: rid, pos."""
+    rows = manifest.select("part", F.lit(-1).cast("long").alias("rid"), F.lit(0).cast("long").alias("pos"), "path")
+    files = max(1, manifest.count())
+    if places is not None:
+        rows = rows.unionByName(places.select(F.shiftright("rid", 33).alias("part"), "rid", "pos", F.lit(None).cast("string").alias("path")))
+
+    def groups(batches):
+        """(rid, path) of a file, then (rid, places) of its texts that have any."""
+        rid_held, held = None, []
+        for b in batches:
+            rid, pos = np.asarray(b.column(1)), np.asarray(b.column(2))
+            edge = np.flatnonzero(np.append(True, rid[1:] != rid[:-1])) if len(rid) else []
+            for k, s in enumerate(edge):
+                e = edge[k + 1] if k + 1 < len(edge) else len(rid)
+                if rid[s] == -1:
+                    if held:
+                        yield rid_held, np.concatenate(held)
+                    rid_held, held = None, []
+                    for i in range(s, e):
+                        yield -1, (int(b.column(0)[i].as_py()), b.column(3)[i].as_py())
+                elif rid[s] == rid_held:
+                    held.append(pos[s:e])
+                else:
+                    if held:
+                        yield rid_held, np.concatenate(held)
+                    rid_held, held = int(rid[s]), [pos[s:e]]
+        if held:
+            yield rid_held, np.concatenate(held)
+
+    def texts(batches):
+        found = groups(batches)
+        now = next(found, None)
+        while now is not None:
+            part, path = now[1]
+            now = next(found, None)
+            fs, at = shared.open_fs(path)
+            with fs.open_input_stream(at) as src, pa.ipc.open_stream(src) as stream:
+                rid = part << 33
+                for b in stream:
+                    for doc_id, z in zip(b.column(0), b.column(1)):
+                        mine = None
+                        if now is not None and now[0] == rid:
+                            mine, now = now[1], next(found, None)
+                        yield rid, doc_id.as_py(), z.as_py(), mine
+                        rid += 1
+
+    return rows.repartition(files, "part").sortWithinPartitions("part", "rid").mapInArrow(lambda batches: function(texts(batches)), schema)
 
 
 def _finish(keep_text: bool):
-    def run(batches):
-        for b in batches:
-            rows = []
-            for doc_id, z, at in zip(*(b.column(k) for k in range(3))):
-                text = zlib.decompress(z.as_py())
-                kept, removed, runs = text, 0, 0
-                found = at.as_py()
-                if found:
-                    pos = np.array(found, dtype=np.int64)
-                    step = np.zeros(len(text) + 1, dtype=np.int64)
-                    np.add.at(step, pos >> 32, 1)
-                    np.add.at(step, (pos >> 32) + (pos >> 8 & 0xFFFFFF) - 1 + LENGTH, -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                rows.append((doc_id.as_py(), len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            if rows:
-                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
+    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+
+    def run(texts):
+        rows, size = [], 0
+        for _, doc_id, z, pos in texts:
+            text = zlib.decompress(z)
+            kept, removed, runs = text, 0, 0
+            if pos is not None:
+                first, count, _ = unpacked(pos)
+                step = np.zeros(len(text) + 1, dtype=np.int64)
+                np.add.at(step, first, 1)
+                np.add.at(step, first + count - 1 + LENGTH, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+            rows.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            size += len(kept)
+            if len(rows) >= 10_000 or keep_text and size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
@@ -284,14 +391,15 @@ def _finish(keep_text: bool):
 def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with keep_text also the bytes left."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = shared.stored(rows.mapInArrow(_packed, "rid long, doc_id long, z binary"), "texts")
-    scan = lambda entries: entries.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_scan, "rid long, pos long, status int")
-    flags = shared.stored(scan(texts.select("rid", "z").mapInArrow(_entries, ENTRY)), "flags")
-    open_ = flags.filter(F.col("status") != FULL).groupBy("rid").agg(F.collect_list("pos").alias("at"))
-    single = scan(texts.select("rid", "z").join(open_, "rid").mapInArrow(_suffixes, ENTRY)).filter(F.col("status") == FULL)
-    full = flags.filter(F.col("status") == FULL).unionByName(single).groupBy("rid").agg(F.collect_list("pos").alias("at"))
-    joined = texts.join(full, "rid", "left").select("doc_id", "z", "at")
-    return joined.mapInArrow(_finish(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    texts = write_texts(rows, shared.scratch(docs.sparkSession, "texts"))
+    full, places, close = None, None, [_entries, _closer(BLOCK), _closer(1)]
+    for look in close:
+        entries = with_texts(texts, places, look, ENTRY)
+        flags = shared.stored(entries.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_scan, "rid long, pos long, status int"), "flags")
+        known = flags.filter(F.col("status") == FULL).select("rid", "pos")
+        full = known if full is None else full.unionByName(known)
+        places = flags.filter(F.col("status") != FULL).select("rid", "pos")
+    return with_texts(texts, full, _finish(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
