@@ -73,7 +73,8 @@ def labelled_findings(spark: SparkSession, n: int = 4_000) -> DataFrame:
     alnum = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(row, F.lit("a")), 512))), "[+/=]", "")
     cut = lambda s, a, b: F.substring(s, F.lit(1), (pick(f"cut{a}", b - a + 1) + a).cast("int"))
     random = F.when(pick("r", 3) == 0, cut(hexes, 32, 64)).when(pick("r", 3) == 1, cut(base64, 20, 44)).otherwise(cut(alnum, 16, 60))
-    words = F.concat_ws(choose("sep", "_", "-", "", "/"), *[choose(f"w{k}", *DICTIONARY.split("|")[:36], "tionon", "erenthe", "ouandst") for k in range(4)], F.concat(choose("d", "1", "2", "v1", "2024", "01"), F.lit("")))
+    sep = choose("sep", "_", "-", "", "/")
+    words = F.concat(*[x for k in range(4) for x in (choose(f"w{k}", *DICTIONARY.split("|")[:36], "tionon", "erenthe", "ouandst"), sep)], choose("d", "1", "2", "v1", "2024", "01"))
     plain = (
         F.when(pick("n", 6) == 0, words)
         .when(pick("n", 6) == 1, F.repeat(choose("c", "x", "0", "1", "a", "*"), (pick("len", 30) + 10).cast("int")))
