@@ -20,8 +20,8 @@ def lexical_pairs(docs: DataFrame, rare: int = 25) -> DataFrame:
     """id, other, similarity of documents (id, space, text) that share a term of at most `rare`
     documents of their space and whose term sets reach the threshold.
 
-    Prefix filtering keeps it exact for pairs that share no such term being under the
-    threshold only if all their terms are common; those are outside this report.
+    Pairs whose common terms are all in more documents than that are no candidates: the
+    bound on a term's documents is what keeps the pairs of a term few.
     """
     sets = docs.select("id", "space", F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) >= 3).alias("terms"))
     words = sets.select("id", "space", F.explode("terms").alias("t"))

@@ -109,5 +109,25 @@ add("eval_sample_budget", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_
 add("eval_leak_scan", "SELECT conv_id, turn, instr(text, '[source]') > 0 OR instr(text, 'private/') > 0 OR instr(text, 'example.com') > 0 AS leaks FROM conversations")
 add("token_estimate", "SELECT space, CAST(sum(floor((length(content) + 3) / 4)) AS BIGINT) AS tokens, max(length(content)) AS longest FROM mem GROUP BY space")
 
+# --- further projections, joins and checks ---------------------------------------
+# Companion text and content as one document text.
+add("composite_document_text", "SELECT memory_id, CASE WHEN entity_key IS NULL OR trim(entity_key) = '' THEN content ELSE entity_key || chr(10) || chr(10) || content END AS document FROM mem WHERE status = 'active'")
+# A prompt becomes a query if it has 20 bytes; 500 characters of it.
+add("hook_query", "SELECT conv_id, turn, substr(text, 1, 500) AS q FROM conversations WHERE role = 'user' AND strlen(text) >= 20")
+add("external_ranking_join", "SELECT v.id AS memory_id, v.distance, m.kind FROM (SELECT memory_id AS id, round(score, 6) AS distance, row_number() OVER (PARTITION BY memory_id ORDER BY event_id) AS k FROM recall) v JOIN mem m ON m.memory_id = v.id WHERE v.k = 1 AND m.status = 'active'")
+add("admissions_per_candidate", "SELECT memory_id, count(DISTINCT query) AS queries, string_agg(DISTINCT_KIND, ',' ORDER BY DISTINCT_KIND) AS sources, min(best) AS best_rank FROM (SELECT memory_id, query, kind AS DISTINCT_KIND, min(rank) AS best FROM recall GROUP BY memory_id, query, kind) a GROUP BY memory_id")
+add("graph_link_proposals", TAG_PAIRS + "SELECT s.entity_key AS subject, d.entity_key AS object, min(p.src) AS src, count(*) AS evidence FROM p JOIN mem s ON s.memory_id = p.src JOIN mem d ON d.memory_id = p.dst LEFT JOIN (SELECT DISTINCT space, entity_key FROM mem WHERE pinned) x ON x.space = s.space AND x.entity_key = s.entity_key WHERE x.entity_key IS NULL GROUP BY s.entity_key, d.entity_key")
+add("contradiction_links", "SELECT a.memory_id AS src, b.memory_id AS dst, 'contradicts' AS link_type FROM mem a JOIN mem b ON a.space = b.space AND a.entity_key = b.entity_key AND a.claim_key = b.claim_key AND a.kind = b.kind WHERE a.memory_id > b.memory_id AND a.content_sha256 <> b.content_sha256 AND a.status = 'active' AND b.status = 'active'")
+add("write_candidates_entity_kind", "SELECT id, other, k FROM (SELECT a.memory_id AS id, b.memory_id AS other, row_number() OVER (PARTITION BY a.memory_id ORDER BY b.memory_id) AS k FROM mem a JOIN mem b ON a.space = b.space AND a.entity_key = b.entity_key AND a.kind = b.kind AND a.claim_key = b.claim_key WHERE a.memory_id <> b.memory_id AND a.status = 'active' AND b.status = 'active') r WHERE k <= 5")
+add("integrity_version_text", "SELECT memory_id, length(trim(content)) > 0 AS filled, length(content) <= 131072 AS bounded, length(content_sha256) = 64 AS hashed FROM mem")
+add("integrity_cross_space_edges", "SELECT e.edge_id, m.space, c.n_regionkey FROM edges e JOIN mem m ON m.memory_id = e.memory_id JOIN customer x ON 'c' || CAST(x.c_custkey AS VARCHAR(20)) = e.subject JOIN nation c ON c.n_nationkey = x.c_nationkey WHERE e.status = 'active' AND (m.space = 'en' AND c.n_regionkey <> 1 OR m.space = 'fr' AND c.n_regionkey <> 3)")
+add("integrity_duplicate_keys", "SELECT subject, rel_type, object, memory_id, count(*) AS n FROM edges GROUP BY subject, rel_type, object, memory_id HAVING count(*) > 1")
+add("memory_list_created_desc", "SELECT memory_id, silo, rn FROM (SELECT memory_id, silo, row_number() OVER (PARTITION BY silo ORDER BY observed_at DESC, memory_id) AS rn FROM mem WHERE status IN ('active', 'superseded', 'tombstoned')) r WHERE rn <= 100")
+add("space_isolation", "SELECT space, count(*) AS n, count(*) FILTER (WHERE scope = 'workspace') AS workspace FROM mem WHERE space IN ('en', 'de') GROUP BY space")
+add("weighted_degree", "SELECT id, round(sum(w), 4) AS degree FROM (SELECT subject AS id, confidence AS w FROM edges WHERE status = 'active' UNION ALL SELECT object, confidence FROM edges WHERE status = 'active') x GROUP BY id")
+add("budget_use_by_category", "SELECT coalesce(lang, 'overall') AS lang, count(*) AS packs, round(avg(least(n_chars, 8000) / 8000.0), 6) AS used, count(*) FILTER (WHERE n_chars > 8000) AS truncated FROM documents GROUP BY GROUPING SETS ((), (lang))")
+add("ingest_chunk_positions", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS start FROM documents")
+add("page_ingest_text", "SELECT page_id, length(html) AS raw_chars, instr(html, '<title>') > 0 AS has_title, strlen(url) AS url_bytes FROM pages")
+
 QUERIES = {name: plan(sql) for name, sql in SQL.items()}
 ORACLES = {name: oracle(sql) for name, sql in SQL.items()}

@@ -304,7 +304,7 @@ def graph_neighbours(spark, sf):
 @query("evidence_expansion", """WITH e AS (SELECT * FROM edges WHERE status = 'active' AND rel_type = 'rel_R'), h AS (SELECT subject AS node, object AS other, edge_id, rel_type, confidence, memory_id FROM e UNION ALL SELECT object, subject, edge_id, rel_type, confidence, memory_id FROM e),
 k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY rel_type, other, edge_id) AS n FROM h), s AS (SELECT entity_id AS seed FROM entities WHERE entity_type = 'Customer' AND status = 'active'),
 a AS (SELECT seed, other AS node, 0.5 * confidence AS act, edge_id, memory_id FROM s JOIN k ON k.node = s.seed WHERE n <= 200),
-b0 AS (SELECT a.seed, h.other, a.act * 0.5 * h.confidence AS act, CAST(a.edge_id AS VARCHAR) || '>' || h.edge_id AS path, a.edge_id AS e1, h.edge_id AS e2, h.memory_id, row_number() OVER (PARTITION BY a.seed, a.node ORDER BY h.rel_type, h.other, h.edge_id, a.edge_id) AS n FROM a JOIN h ON h.node = a.node WHERE h.other <> a.seed),
+b0 AS (SELECT a.seed, h.other, a.act * 0.5 * h.confidence AS act, CAST(a.edge_id AS VARCHAR) || '>' || h.edge_id AS path, a.edge_id AS e1, h.edge_id AS e2, h.memory_id, h.n FROM a JOIN k h ON h.node = a.node WHERE h.other <> a.seed AND h.n <= 200),
 r AS (SELECT seed, memory_id, 1 AS hop, round(act, 9) AS act, edge_id AS e1, 0 AS e2, CAST(edge_id AS VARCHAR) AS path FROM a UNION ALL SELECT seed, memory_id, 2, round(act, 9), e1, e2, path FROM b0 WHERE n <= 200),
 o AS (SELECT *, row_number() OVER (PARTITION BY seed, memory_id ORDER BY hop, act DESC, e1, e2) AS k, count(*) OVER (PARTITION BY seed, memory_id) AS routes FROM r) SELECT seed, memory_id, CAST(hop AS BIGINT) AS hop, round(act, 6) AS activation, path, routes FROM o WHERE k = 1""")
 def evidence_expansion(spark, sf):
