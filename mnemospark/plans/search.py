@@ -180,7 +180,7 @@ def recency_scores(spark, sf):
 x AS (SELECT p.query_id, m.memory_id, m.observed_at, CASE WHEN best < 0 AND bm25 < 0 THEN greatest(0, least(1, bm25 / best)) ELSE 0 END AS fts, greatest(0, least(1, confidence)) * 0.05 + CASE WHEN kind = 'fact' THEN 0.05 ELSE 0 END + CASE WHEN entity_key = 'source:src1' THEN 0.1 ELSE 0 END AS metadata,
  CASE WHEN silo = 'durable' THEN 0.05 * pow(0.5, greatest((epoch_us({AS_OF}) - epoch_us(greatest(updated_at, observed_at))) / 86400000000.0, 0) / 180) ELSE 0.2 * pow(0.5, greatest((epoch_us({AS_OF}) - epoch_us(greatest(updated_at, observed_at))) / 86400000000.0, 0) / 30) END AS recency,
  CASE WHEN scope = 'workspace' THEN 0.03 ELSE 0 END AS scope, CASE WHEN status = 'active' THEN 0.02 ELSE 0 END AS status, CASE WHEN pinned THEN 0.05 ELSE 0 END AS pin, CASE WHEN m.source = 'src2' THEN 0.04 WHEN m.source = 'src3' THEN 0 ELSE 0.02 END AS source_tier
- FROM p JOIN b USING (query_id) JOIN mem m ON m.doc_id = p.id WHERE m.status = 'active'), y AS (SELECT query_id, memory_id, observed_at, round(fts, 6) AS fts, round(metadata, 6) AS metadata, round(recency, 6) AS recency, round(scope + status + pin + source_tier, 6) AS rest, round(fts + metadata + recency + scope + status + pin + source_tier, 6) AS score FROM x)
+ FROM p JOIN b USING (query_id) JOIN mem m ON m.doc_id = p.id WHERE m.status = 'active'), y AS (SELECT query_id, memory_id, observed_at, round(fts, 6) AS fts, round(metadata, 6) AS metadata, round(recency, 6) AS recency, CAST(round(scope + status + pin + source_tier, 6) AS DOUBLE) AS rest, round(fts + metadata + recency + scope + status + pin + source_tier, 6) AS score FROM x)
 SELECT query_id, memory_id, fts, metadata, recency, rest, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, observed_at DESC, memory_id) AS rank FROM y) WHERE rank <= 10""")
 def score_breakdown(spark, sf):
     """Pool by BM25, then final scores with all factors."""
@@ -318,7 +318,7 @@ def entity_merge_outcomes(spark, sf):
     return graph.merge(view(spark, sf, "edges"), "s1", "s0").select("edge_id", "subject", "object", "outcome")
 
 
-@query("orphan_attachment", "WITH o AS (SELECT p_partkey AS node, unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part WHERE p_size < 5), a AS (SELECT p_brand AS node, t FROM (SELECT DISTINCT p_brand, unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part WHERE p_size > 45)), s AS (SELECT o.node AS orphan, a.node AS anchor, count(*) AS overlap FROM o JOIN a USING (t) GROUP BY o.node, a.node) SELECT orphan, anchor, overlap, 0.15 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY overlap DESC, anchor) AS k FROM s) WHERE k = 1")
+@query("orphan_attachment", "WITH o AS (SELECT p_partkey AS node, unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part WHERE p_size < 5), a AS (SELECT p_brand AS node, t FROM (SELECT DISTINCT p_brand, unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part WHERE p_size > 45)), s AS (SELECT o.node AS orphan, a.node AS anchor, count(*) AS overlap FROM o JOIN a USING (t) GROUP BY o.node, a.node) SELECT orphan, anchor, overlap, CAST(0.15 AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY overlap DESC, anchor) AS k FROM s) WHERE k = 1")
 def orphan_attachment(spark, sf):
     p = read(spark, sf, "part").withColumn("tokens", F.split(F.concat_ws(" ", "p_name", "p_type"), " "))
     anchors = p.filter("p_size > 45").select(F.col("p_brand").alias("node"), F.explode("tokens").alias("t")).groupBy("node").agg(F.collect_set("t").alias("tokens"))
@@ -366,9 +366,9 @@ def kind_inference(spark, sf):
     return c.select("conv_id", "turn", X.kind_from_prefix(F.concat("p", F.lit("x"))).alias("kind"))
 
 
-@query("folded_terms", "SELECT doc_id, strip_accents(substr(text, 1, 200)) AS folded FROM documents")
+@query("folded_terms", "SELECT doc_id, strip_accents(text) AS folded FROM documents")
 def folded_terms(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", X.fold(F.substring("text", 1, 200)).alias("folded"))
+    return read(spark, sf, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
 
 
 @query("claim_fingerprints")
