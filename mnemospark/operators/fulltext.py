@@ -6,6 +6,10 @@ better).  Only terms that some query asks for leave the scan of a corpus.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from ..functions import text as T
 from .ranking import pool_size, relative, top_k
 
 K1, B = 1.2, 0.75
+#: Queries of one slice.
+QUERIES = 256
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -20,32 +26,68 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
 
 
-def hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """id, term, tf, dl of the documents (columns id, text) that hold any of the terms."""
-    words = docs.select("id", T.tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    found = words.join(terms.select("term").distinct(), "term", "left_semi")
-    return found.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def weighted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """hits with the BM25 weight of each term in each document."""
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    w = found.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return w.select("id", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("weight"))
+def bm25(docs: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
+    """query_id, id, bm25 of the documents that hold any term of the query; with `best` only rows
+    that can be among the first `best` of their query (each task keeps its own).
 
-
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, bm25 of the documents that hold any term of the query."""
+    A term's weight in a document does not depend on the query, so the scores of a batch
+    of documents are a matrix product of their weights with the queries' terms.  That
+    keeps pairs of document, query and term out of every shuffle.  Queries go to the
+    tasks in slices of QUERIES, so what a task holds is bounded.
+    """
+    spark = docs.sparkSession
     terms = asked(queries)
-    w = weighted(docs, hits(docs, terms))
-    return w.join(terms, "term").groupBy("query_id", "id").agg(F.round(-F.sum("weight"), 9).alias("bm25"))
+    words = docs.select("id", T.tokens(F.col("text")).alias("w"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
+    per = words.select(F.explode(F.array_distinct("w")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    known = terms.join(per, "term")
+    kinds, n_queries = dict(docs.dtypes)["id"], terms.select("query_id").distinct().count()
+    query_kind = dict(queries.dtypes)["query_id"]
+    parts, out = n_queries // QUERIES + 1, None
+    for part in range(parts):
+        rows = known.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        names = sorted({r.term for r in rows})
+        ids = sorted({r.query_id for r in rows})
+        place, column = {t: k for k, t in enumerate(names)}, {q: k for k, q in enumerate(ids)}
+        asks, idf = np.zeros((len(names), len(ids))), np.zeros(len(names))
+        for r in rows:
+            asks[place[r.term], column[r.query_id]] = 1
+            idf[place[r.term]] = math.log(1 + (stats.n - r.df + 0.5) / (r.df + 0.5))
+        sent = spark.sparkContext.broadcast((place, np.array(ids), asks, idf, stats.avgdl))
+
+        def score(batches, sent=sent):
+            place, ids, asks, idf, avgdl = sent.value
+            held = None
+            for pdf in batches:
+                for c in range(0, len(pdf) if len(ids) else 0, 512):
+                    some = pdf.iloc[c : c + 512]
+                    tf = np.zeros((len(some), len(idf)))
+                    dl = np.zeros(len(some))
+                    for k, w in enumerate(some["w"]):
+                        dl[k] = len(w)
+                        at = [place[x] for x in w if x in place]
+                        if at:
+                            tf[k] = np.bincount(at, minlength=len(idf))
+                    weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[:, None] / avgdl))
+                    total = np.round(-(weight @ asks), 9)
+                    d, q = np.nonzero((tf > 0).astype(np.float64) @ asks)
+                    made = pd.DataFrame({"query_id": ids[q], "id": some["id"].to_numpy()[d], "bm25": total[d, q]})
+                    if best is None:
+                        yield made
+                        continue
+                    made = made if held is None else pd.concat([held, made])
+                    held = made.sort_values(["query_id", "bm25", "id"]).groupby("query_id", sort=False).head(best)
+            if held is not None:
+                yield held
+
+        made = words.mapInPandas(score, f"query_id {query_kind}, id {kinds}, bm25 double")
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 def search(docs: DataFrame, queries: DataFrame, limit: int = 10, snippet_chars: int = 160) -> DataFrame:
     """The best documents of each query with rank, relative score and snippet."""
-    best = top_k(bm25(docs, queries), "query_id", [F.asc("bm25"), F.asc("id")], limit)
+    best = top_k(bm25(docs, queries, limit), "query_id", [F.asc("bm25"), F.asc("id")], limit)
     rows = best.join(docs.select("id", F.col("text").alias("content")), "id").join(queries.select("query_id", T.query_terms(F.col("text")).alias("terms")), "query_id")
     top = best.groupBy("query_id").agg(F.min("bm25").alias("best"))
     rows = rows.join(top, "query_id")

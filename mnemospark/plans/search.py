@@ -184,7 +184,7 @@ x AS (SELECT p.query_id, m.memory_id, m.observed_at, CASE WHEN best < 0 AND bm25
 SELECT query_id, memory_id, fts, metadata, recency, rest, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, observed_at DESC, memory_id) AS rank FROM y) WHERE rank <= 10""")
 def score_breakdown(spark, sf):
     """Pool by BM25, then final scores with all factors."""
-    pool = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], ranking.pool_size(10))
+    pool = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf), ranking.pool_size(10)), "query_id", [F.asc("bm25"), F.asc("id")], ranking.pool_size(10))
     best = pool.groupBy("query_id").agg(F.min("bm25").alias("best"))
     m = view(spark, sf, "mem").filter("status = 'active'")
     rows = pool.join(best, "query_id").join(m, pool["id"] == m["doc_id"])
@@ -202,7 +202,7 @@ ARMS = BM25 + ", v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FRO
 
 
 def arms(spark, sf):
-    lexical = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], 42).select("query_id", "id", "rank")
+    lexical = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf), 42), "query_id", [F.asc("bm25"), F.asc("id")], 42).select("query_id", "id", "rank")
     q = items(spark, sf).join(vecs(spark, sf), F.col("query_id") == F.col("id")).select("query_id", "embedding")
     return lexical, vectors.knn(q, vecs(spark, sf), 42).select("query_id", "id", "rank")
 
@@ -222,7 +222,7 @@ def merge_rerank_pools(spark, sf):
 
 @query("round_robin_pack", BM25 + "SELECT lang, id, rank, query_index, position FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rank, query_index, id) AS position FROM (SELECT lang, id, min(rank) AS rank, arg_min(query_index, rank * 100000 + query_index) AS query_index FROM (SELECT d.lang, r.id, r.rank, r.query_id AS query_index FROM r JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 20) GROUP BY lang, id)) WHERE position <= 50")
 def round_robin_pack(spark, sf):
-    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], 20)
+    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf), 20), "query_id", [F.asc("bm25"), F.asc("id")], 20)
     lists = best.join(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), "id").select("lang", "id", "rank", F.col("query_id").alias("query_index"))
     return ranking.interleave(lists, "lang", "query_index", 50)
 
@@ -243,7 +243,7 @@ def pack_byte_budget_first_cut(spark, sf):
 @query("min_score_gate", BM25 + ", g AS (SELECT query_id FROM r GROUP BY query_id HAVING min(bm25) <= -40) SELECT r.query_id, r.id, r.rank FROM r JOIN g USING (query_id) WHERE rank <= 5")
 def min_score_gate(spark, sf):
     """A query whose best score misses the gate gets nothing."""
-    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], 5)
+    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf), 5), "query_id", [F.asc("bm25"), F.asc("id")], 5)
     return best.join(best.groupBy("query_id").agg(F.min("bm25").alias("top")).filter("top <= -40"), "query_id", "left_semi").select("query_id", "id", "rank")
 
 
@@ -394,7 +394,7 @@ def rerank_overlap(spark, sf):
     """The best 16 of each query, reordered by a scorer over the query and 512 characters."""
     from ..operators import rerank
 
-    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], 16)
+    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf), 16), "query_id", [F.asc("bm25"), F.asc("id")], 16)
     pairs = best.join(corpus(spark, sf).withColumnRenamed("text", "document"), "id").join(items(spark, sf).withColumnRenamed("text", "query"), "query_id")
     rows = rerank.ordered(rerank.scored(pairs).withColumn("consensus", F.lit(False)).withColumn("activation", F.lit(None).cast("double")))
     return rows.select("query_id", "id", "score", "position")
@@ -404,7 +404,7 @@ def rerank_overlap(spark, sf):
 def order_scores_without_reranker(spark, sf):
     from ..operators import rerank
 
-    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], 16)
+    best = ranking.top_k(fulltext.bm25(corpus(spark, sf), items(spark, sf), 16), "query_id", [F.asc("bm25"), F.asc("id")], 16)
     rows = best.withColumn("score", F.lit(None).cast("double")).withColumn("consensus", F.lit(False)).withColumn("activation", F.lit(None).cast("double"))
     return rerank.ordered(rows).select("query_id", "id", "order_score")
 
