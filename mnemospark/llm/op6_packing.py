@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from . import shared, wordcache
 
 LENGTH, FEATURES, DIMS, BITS = 2048, 256, 4, 15
+#: Tokens in a row of the sort: longer documents are rows of several segments, so rows
+#: and with them range partitions are of bounded size.
+SEGMENT = 4 * LENGTH
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -77,7 +80,8 @@ def curve_keys(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, ids (little-endian; 2 bytes each if wide = 2, else 4) of each row."""
+    """key, doc_id, start, doc_tokens, ids (little-endian; 2 bytes each if wide = 2, else 4) of each
+    segment of each row; all segments of a document have its key."""
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -86,19 +90,25 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str =
             for c in range(0, b.num_rows, 256):
                 part = b.slice(c, 256)
                 ids = [np.frombuffer(tok.encode(t.as_py() or "") + end, dtype="<u4") for t in part.column(1)]
-                wide = [2 if not len(x) or x.max() < 65536 else 4 for x in ids]
-                packed = [x.astype(f"<u{w}").tobytes() for x, w in zip(ids, wide)]
-                yield pa.RecordBatch.from_arrays([pa.array(curve_keys(ids, matrix)), part.column(0), pa.array(wide, pa.int32()), pa.array(packed, pa.binary())], names=["key", "doc_id", "wide", "ids"])
+                keys = curve_keys(ids, matrix).tolist()
+                rows = []
+                for key, doc_id, x in zip(keys, part.column(0).to_pylist(), ids):
+                    wide = 2 if not len(x) or x.max() < 65536 else 4
+                    for start in range(0, len(x), SEGMENT):
+                        rows.append((key, doc_id, start, len(x), wide, x[start : start + SEGMENT].astype(f"<u{wide}").tobytes()))
+                if rows:
+                    kinds = [*[pa.int64()] * 4, pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["key", "doc_id", "start", "doc_tokens", "wide", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, doc_id long, wide int, ids binary")
+    return rows.mapInArrow(run, "key long, doc_id long, start long, doc_tokens long, wide int, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int | None, length: int = LENGTH, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all sequences; with keep_ids also their ids (little-endian unsigned 32-bit)."""
     path = shared.scratch(docs.sparkSession, "tokens")
     tokens = shared.stored(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens", path)
-    order = [F.col("key"), F.col("doc_id").asc_nulls_first()]
+    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("start")]
     names = [x.split(" ")[0] for x in PIECES.split(", ")]
 
     def run(batches):
@@ -111,22 +121,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, length: int = LENG
             out = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:7]]
             return pa.RecordBatch.from_arrays(out + [pa.array([r[7] for r in rows], pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 
-        def piece(doc_id, data, at, n, sequence, offset):
+        def piece(segment, at, n, sequence, offset):
+            doc_id, start, doc_tokens, data = segment
             part = data[4 * at : 4 * (at + n)]
-            return (doc_id, at, n, zlib.crc32(part), len(data) // 4, sequence, offset, part if keep_ids else None)
+            return (doc_id, start + at, n, zlib.crc32(part), doc_tokens, sequence, offset, part if keep_ids else None)
 
         for b in batches:
-            for doc_id, wide, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for doc_id, start, doc_tokens, wide, raw in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4)):
                 data = np.frombuffer(raw.as_py(), dtype=f"<u{wide}").astype("<u4").tobytes()
                 at, n = 0, len(data) // 4
                 while at < n:
                     take = min(room, n - at)
-                    held.append((doc_id, data, at, take))
+                    held.append(((doc_id, start, doc_tokens, data), at, take))
                     at, room = at + take, room - take
                     if not room:
                         offset = 0
-                        for d, x, a, k in held:
-                            rows.append(piece(d, x, a, k, sequence, offset))
+                        for segment, a, k in held:
+                            rows.append(piece(segment, a, k, sequence, offset))
                             offset += k
                         size += 4 * length
                         sequence, room, held = sequence + 1, length, []
@@ -134,18 +145,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, length: int = LENG
                             yield batch(rows)
                             rows, size = [], 0
         left, offset, until = length - room, 0, 0  # the rest, cut at powers of two
-        for d, x, a, k in held:
+        for segment, a, k in held:
             while k:
                 if not until:
                     sequence, offset, until = sequence + bool(offset), 0, 1 << (left.bit_length() - 1)
                 take = min(k, until)
-                rows.append(piece(d, x, a, take, sequence, offset))
+                rows.append(piece(segment, a, take, sequence, offset))
                 a, k, left, offset, until = a + take, k - take, left - take, offset + take, until - take
         if rows:
             yield batch(rows)
 
     rows = tokens.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
-    return rows.select("doc_id", "wide", "ids").mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+    return rows.select("doc_id", "start", "doc_tokens", "wide", "ids").mapInArrow(run, PIECES + ", ids binary" * keep_ids)
 
 
 def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
