@@ -1,28 +1,31 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. The n-grams of the test items are counted over all training documents (document
    frequency; only the items' own n-grams are counted, so the counts are no larger
    than the benchmark).
-2. Seeds: of every SPAN neighbouring n-grams of an item the rarest.  Any run of
-   N + SPAN - 1 = 5 words that a passage shares with an item holds a seed.
+2. Seeds: every n-gram (N = 2) of an item that occurs in the documents.  Any two
+   neighbouring words that a passage shares with an item are a seed.  A copy with words
+   replaced or left out that reaches the threshold of 0.5 keeps two thirds of the item's
+   words, and so two neighbours at least if the item has six words.  Only a copy with a
+   word put in between nearly all neighbours has none.
 3. A document's words are looked up in the seeds.  Around each hit a window of the
    item's length and SLACK more is aligned with the item by Smith-Waterman on words
    (match 2, mismatch -1, gap -1).  similarity = score / (2 * words of the item).
-   Windows whose words could not reach the threshold even if all in order are
-   skipped; that bound is exact.
+   Documents and windows whose words could not reach the threshold even if all in
+   order are skipped; that bound is exact.
 
 The benchmark is held by every task while its text is at most MOST_BYTES; a larger
 one is worked off in slices, each against all documents.
 
-Defined cases: null or empty texts and items match nothing; items under N words have
-no n-gram and match nothing; repeated documents are each reported; equal items are
+Defined cases: null or empty texts and items match nothing; items under
+SHORTEST words match nothing; repeated documents are each reported; equal items are
 each reported; an empty side gives an empty result; further columns are ignored, or
 passed through by decontaminate().
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-N, SPAN, SLACK, THRESHOLD, MOST_BYTES = 3, 3, 0.3, 0.5, 32 << 20
+N, SHORTEST, SLACK, THRESHOLD, MOST_BYTES = 2, 3, 0.3, 0.5, 32 << 20
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%&$-_/\\«»“”‘’…"
 FOUND = "doc_id long, item_id long, score long, item_words long, similarity double, start_word long, end_word long"
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,7 +57,7 @@ def codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(ids) < N:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     ok = ids >= 0
-    at = np.flatnonzero(ok[:-2] & ok[1:-1] & ok[2:])
+    at = np.flatnonzero(ok[:-1] & ok[1:])
     with np.errstate(over="ignore"):
         code = sum((ids[at + k].astype(np.uint64) + np.uint64(1)) * _MIX[k] for k in range(N)) if len(at) else np.zeros(0, np.uint64)
         code = (code ^ (code >> np.uint64(29))) * _MIX[1]
@@ -79,6 +82,12 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
+def joined(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries at[r] to at[r + 1] of each of rows, one after the other, and how many each has."""
+    n = at[rows + 1] - at[rows]
+    return np.arange(n.sum()) + np.repeat(at[rows] - np.cumsum(n) + n, n), n
+
+
 class Index:
     """Items of a benchmark, their n-grams and, once counted, their seeds."""
 
@@ -87,19 +96,19 @@ class Index:
         words = [words_of(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
         self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], dtype=np.int64) for ws in words]
-        self.grams = [codes(x) for x in self.items]
+        self.grams = [codes(x if len(x) >= SHORTEST else x[:0]) for x in self.items]
         self.known = np.unique(np.concatenate([c for _, c in self.grams] or [np.zeros(0, np.uint64)]))
         self.bags = [Counter(x.tolist()) for x in self.items]
+        self.bag_at = np.cumsum([0, *(len(b) for b in self.bags)])
+        self.bag_word, self.bag_n = (np.array([x for b in self.bags for x in part(b)], dtype=np.int64) for part in (Counter.keys, Counter.values))
+        self.have = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)  # of the document at hand; zero between documents
 
     def seed(self, frequency: dict[int, int]) -> None:
-        """Choose the seeds by document frequency (of signed codes)."""
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (at, code) in enumerate(self.grams):
-            df = [frequency.get(int(c), 0) for c in code.view(np.int64)]
-            chosen = {min(range(s, min(s + SPAN, len(df))), key=lambda i: (df[i], i)) for s in range(max(1, len(df) - SPAN + 1) if df else 0)}
-            for i in sorted(chosen):
-                self.seeds[int(code[i])].append((k, int(at[i])))
-        self.seed_codes = np.array(sorted(self.seeds), dtype=np.uint64)
+        """Take the n-grams that occur in documents (frequency: of signed codes) as seeds."""
+        seeds = sorted((c, k, i) for k, (at, code) in enumerate(self.grams) for c, i in zip(code.tolist(), at.tolist()) if int(np.uint64(c).view(np.int64)) in frequency)
+        self.seed_codes, first = np.unique(np.array([c for c, _, _ in seeds], dtype=np.uint64), return_index=True)
+        self.seed_at = np.append(first, len(seeds))
+        self.seed_item, self.seed_offset = (np.array([x[j] for x in seeds], dtype=np.int64) for j in (1, 2))
 
     def ids(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -114,13 +123,23 @@ class Index:
         place = np.searchsorted(self.seed_codes, code)
         place[place == len(self.seed_codes)] = 0
         hit = np.flatnonzero(self.seed_codes[place] == code)
-        starts: dict[int, list[int]] = defaultdict(list)
-        for h in hit.tolist():
-            for k, offset in self.seeds[int(code[h])]:
-                starts[k].append(int(at[h]) - offset)
+        if not len(hit):
+            return []
+        entry, n = joined(self.seed_at, place[hit])
+        which, begins = self.seed_item[entry], np.repeat(at[hit], n) - self.seed_offset[entry]
+        some = np.unique(which)
+        word, n = np.unique(ids[ids >= 0], return_counts=True)
+        self.have[word] = n
+        entry, n = joined(self.bag_at, some)
+        common = np.add.reduceat(np.minimum(self.bag_n[entry], self.have[self.bag_word[entry]]), np.cumsum(n) - n)
+        self.have[word] = 0
         out = []
-        for k, begin in starts.items():
-            item, bag = self.items[k], self.bags[k]
+        for k in some[2 * common >= threshold * 2 * np.array([len(self.items[k]) for k in some.tolist()])].tolist():
+            item, bag, begin = self.items[k], self.bags[k], begins[which == k].tolist()
+            need = threshold * 2 * len(item)
+            self.have[item] = 1
+            own = np.append(0, np.cumsum(self.have[ids]))  # id -1 is the last entry, of no word
+            self.have[item] = 0
             slack = int(SLACK * len(item)) + 3
             spans: list[tuple[int, int]] = []
             for b in sorted(set(begin)):
@@ -130,8 +149,7 @@ class Index:
                 else:
                     spans.append((a, z))
                 last = b
-            need = threshold * 2 * len(item)
-            spans = [(a, z) for a, z in spans if 2 * sum((bag & Counter(ids[a:z].tolist())).values()) >= need]
+            spans = [(a, z) for a, z in spans if 2 * (own[z] - own[a]) >= need and 2 * sum((bag & Counter(ids[a:z].tolist())).values()) >= need]
             if not spans:
                 continue
             width = max(z - a for a, z in spans)

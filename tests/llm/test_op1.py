@@ -64,3 +64,27 @@ def test_slices(spark, monkeypatch, sf):
     monkeypatch.setattr(op, "MOST_BYTES", 3000)
     assert len(op.slices(benchmark)) > 1
     assert sorted(map(tuple, op.contaminated(docs, benchmark).select("doc_id", "item_id", "score").collect())) == want
+
+
+def test_copies_edited_at_every_4th_and_5th_word(spark):
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    noise = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = {k: noise(n) for k, n in enumerate((16, 25, 40, 59))}
+    docs, want = [], []
+    for k, item in items.items():
+        for step in (3, 4, 5):
+            for new in ("CHANGED", "w5"):
+                for exact in (False, True):  # an exact copy elsewhere makes the intact n-grams no rarer than the others
+                    edited = [new if i % step == step - 1 else w for i, w in enumerate(item)]
+                    if brute_score(item, edited) >= op.THRESHOLD * 2 * len(item):
+                        want.append((len(docs), k))
+                    docs.append((len(docs), " ".join(noise(50) + edited + noise(50))))
+                    if exact:
+                        want.append((len(docs), k))
+                        docs.append((len(docs), " ".join(item)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in op.contaminated(frame, benchmark).collect()}
+    assert len(want) > 50 and set(want) <= got
+    assert {x.doc_id for x in op.decontaminate(frame, benchmark).collect()}.isdisjoint(d for d, _ in want)
