@@ -168,21 +168,24 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable over links) of each row."""
     fps = shared.stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    return shared.lookup(fps, classified(fps, distance).drop("root"), "fp", fps.count())
+    return shared.lookup(fps, classified(fps, links(fps.select("fp").distinct(), distance)).drop("root"), "fp", fps.count())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """docs with one row left of each class: one of its least id (any one if it has no id)."""
     fps = shared.stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = classified(fps, distance)
+    return kept(docs, fps, classified(fps, links(fps.select("fp").distinct(), distance)), lambda t: int(np.uint64(fingerprint(t, width)).view(np.int64)), id_col, text_col)
+
+
+def kept(docs: DataFrame, fps: DataFrame, classes: DataFrame, fp_of, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row left of each of classes; fps holds doc_id and fp_of(text) of each row."""
     # Rows that tie as representative of a class: none where ids are unique.
     ties = shared.stored(shared.lookup(fps, classes, "fp", fps.count()).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").count().filter("count > 1").select("root"), "ties")
     at, names = docs.columns.index(text_col), [*docs.columns, "__fp"]
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(at)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fp_of(t.as_py()) for t in b.column(at)], pa.int64())], names=names)
 
     keyed = classes.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"), F.col("n").alias("__n"))
     rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
@@ -193,10 +196,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return found.select(*docs.columns)
 
 
-def classified(fps: DataFrame, distance: int) -> DataFrame:
-    """fp, n (rows with it), root (least fp of its class), component_id (least doc_id of its class)."""
+def classified(fps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """By the links `pairs` (a, b): fp, n (rows with it), root (least fp of its class), component_id (least doc_id of its class)."""
     nodes = shared.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    root = shared.stored(components(nodes, distance).join(nodes.select("fp", "rep"), "fp"), "roots")
+    root = shared.stored(shared.components(pairs).withColumnRenamed("node", "fp").join(nodes.select("fp", "rep"), "fp"), "roots")
     least = shared.stored(root.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "least")
     named = shared.lookup(root.select("fp", "root"), least, "root", root.count())
     return shared.stored(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")), "classes")
