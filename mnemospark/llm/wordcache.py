@@ -9,8 +9,9 @@ between two characters that are no white space:
 * ``wordend``: white space is dropped, words carry an end mark.
 
 Pieces go through the library's own normalizer, pre-tokenizer and BPE model.
-Texts with any other white space, and tokenizers of any other make, go through
-the library whole.  The cache is bounded: two generations of CACHE entries.
+Texts with any other white space or with the string of an added token (such as
+<|endoftext|>, which the library takes for its id), and tokenizers of any other make,
+go through the library whole.  The cache is bounded: two generations of CACHE entries.
 """
 
 from __future__ import annotations
@@ -72,11 +73,13 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.kind = "whole"
-        if spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"):
+        if spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not any(t.get("normalized") for t in added):
             if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
                 self.kind = "gpt2"
             elif spec["model"].get("end_of_word_suffix") and [p.get("type") for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
@@ -122,7 +125,7 @@ class WordCache:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.kind == "whole":
+        if self.kind == "whole" or any(t in text for t in self.added):
             return self._whole(text)
         mid = self.mid
         if self.kind == "wordend":
