@@ -1,31 +1,32 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. The n-grams of the test items are counted over all training documents (document
-   frequency; only the items' own n-grams are counted, so the counts are no larger
-   than the benchmark).
-2. Seeds: every n-gram (N = 2) of an item that occurs in the documents.  Any two
-   neighbouring words that a passage shares with an item are a seed.  A copy with words
-   replaced or left out that reaches the threshold of 0.5 keeps two thirds of the item's
-   words, and so two neighbours at least if the item has six words.  Only a copy with a
-   word put in between nearly all neighbours has none.
-3. A document's words are looked up in the seeds.  Around each hit a window of the
-   item's length and SLACK more is aligned with the item by Smith-Waterman on words
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. The n-grams of the test items (N = 1: words) are counted over all training documents
+   (document frequency; only the items' own are counted, so the counts are no larger than
+   the benchmark).
+2. Seeds: of an item of L words the L - ceil(threshold * L) + 1 rarest places.  An alignment
+   that reaches the threshold matches ceil(threshold * L) words of the item at least, so it
+   leaves out fewer words than there are seeds: one of its matches is a seed.
+3. A document's words are looked up in the seeds.  Around each hit a window that holds
+   every alignment through it is aligned with the item by Smith-Waterman on words
    (match 2, mismatch -1, gap -1).  similarity = score / (2 * words of the item).
    Documents and windows whose words could not reach the threshold even if all in
-   order are skipped; that bound is exact.
+   order are skipped.  No step loses a document: results equal exhaustive alignment.
 
 The benchmark is held by every task while its text is at most MOST_BYTES; a larger
-one is worked off in slices, each against all documents.
+one is worked off in slices, one at a time, each against all documents.
 
 Defined cases: null or empty texts and items match nothing; items under
 SHORTEST words match nothing; repeated documents are each reported; equal items are
-each reported; an empty side gives an empty result; further columns are ignored, or
-passed through by decontaminate().
+each reported; of equally good places the first found is reported; a text of any length is
+searched whole (about 40 bytes of memory a word); an empty side gives an empty result;
+further columns are ignored, or passed through by decontaminate().
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,36 +35,26 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-N, SHORTEST, SLACK, THRESHOLD, MOST_BYTES = 2, 3, 0.3, 0.5, 32 << 20
+SHORTEST, THRESHOLD, MOST_BYTES = 3, 0.5, 32 << 20
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%&$-_/\\«»“”‘’…"
 FOUND = "doc_id long, item_id long, score long, item_words long, similarity double, start_word long, end_word long"
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_ASCII = {ord(c): " " for c in PUNCTUATION if c.isascii()}
+_BYTES = bytes(32 if b in _ASCII else b for b in range(256))
+_FURTHER = [c for c in PUNCTUATION if not c.isascii()]
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case words; punctuation counts as white space."""
     text = (text or "").lower()
-    for c in PUNCTUATION:
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    text = text.encode("utf-8", "surrogatepass").translate(_BYTES).decode("utf-8", "surrogatepass")
+    for c in _FURTHER:
         if c in text:
             text = text.replace(c, " ")
     return text.split()
 
 
-def codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the n-grams whose words all occur in the benchmark, and their codes.
-
-    Codes may collide; the alignment decides.
-    """
-    if len(ids) < N:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ok = ids >= 0
-    at = np.flatnonzero(ok[:-1] & ok[1:])
-    with np.errstate(over="ignore"):
-        code = sum((ids[at + k].astype(np.uint64) + np.uint64(1)) * _MIX[k] for k in range(N)) if len(at) else np.zeros(0, np.uint64)
-        code = (code ^ (code >> np.uint64(29))) * _MIX[1]
-    return at, code
-
-
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of the item with each row of windows, and its end (exclusive)."""
     n, width = windows.shape
@@ -89,44 +80,45 @@ def joined(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Items of a benchmark, their n-grams and, once counted, their seeds."""
+    """Items of a benchmark, their words and, once counted, their seeds.  Equal items are one."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.keys = [k for k, _ in items]
-        words = [words_of(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], dtype=np.int64) for ws in words]
-        self.grams = [codes(x if len(x) >= SHORTEST else x[:0]) for x in self.items]
-        self.known = np.unique(np.concatenate([c for _, c in self.grams] or [np.zeros(0, np.uint64)]))
-        self.bags = [Counter(x.tolist()) for x in self.items]
+        keys: dict[tuple, list] = {}
+        for key, text in items:
+            words = words_of(text)
+            if len(words) >= SHORTEST:
+                keys.setdefault(tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), []).append(key)
+        self.keys = list(keys.values())
+        self.items = [np.array(x, dtype=np.int64) for x in keys]
+        self.bags = [Counter(x) for x in keys]
         self.bag_at = np.cumsum([0, *(len(b) for b in self.bags)])
         self.bag_word, self.bag_n = (np.array([x for b in self.bags for x in part(b)], dtype=np.int64) for part in (Counter.keys, Counter.values))
         self.have = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)  # of the document at hand; zero between documents
 
-    def seed(self, frequency: dict[int, int]) -> None:
-        """Take the n-grams that occur in documents (frequency: of signed codes) as seeds."""
-        seeds = sorted((c, k, i) for k, (at, code) in enumerate(self.grams) for c, i in zip(code.tolist(), at.tolist()) if int(np.uint64(c).view(np.int64)) in frequency)
-        self.seed_codes, first = np.unique(np.array([c for c, _, _ in seeds], dtype=np.uint64), return_index=True)
-        self.seed_at = np.append(first, len(seeds))
+    def seed(self, frequency: np.ndarray, threshold: float) -> None:
+        """Take each item's rarest words as seeds; frequency: documents with each word."""
+        seeds = []
+        for k, item in enumerate(self.items):
+            rare = np.argsort(frequency[item], kind="stable")[: len(item) - math.ceil(threshold * len(item)) + 1]
+            seeds += [(int(item[i]), k, int(i)) for i in rare if frequency[item[i]]]
+        seeds.sort()
         self.seed_item, self.seed_offset = (np.array([x[j] for x in seeds], dtype=np.int64) for j in (1, 2))
+        self.seed_at = np.searchsorted(np.array([w for w, _, _ in seeds], dtype=np.int64), np.arange(len(self.vocabulary) + 1))
+        self.is_seed = np.append(np.diff(self.seed_at) > 0, False)  # id -1 is the last entry, of no word
 
     def ids(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
+        words = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def find(self, text: str | None, threshold: float) -> list[tuple]:
         """(item key, score, item words, similarity, start word, end word), the best place of each item."""
         ids = self.ids(text)
-        at, code = codes(ids)
-        if not len(at) or not len(self.seed_codes):
-            return []
-        place = np.searchsorted(self.seed_codes, code)
-        place[place == len(self.seed_codes)] = 0
-        hit = np.flatnonzero(self.seed_codes[place] == code)
+        hit = np.flatnonzero(self.is_seed[ids])
         if not len(hit):
             return []
-        entry, n = joined(self.seed_at, place[hit])
-        which, begins = self.seed_item[entry], np.repeat(at[hit], n) - self.seed_offset[entry]
+        entry, n = joined(self.seed_at, ids[hit])
+        which, begins = self.seed_item[entry], np.repeat(hit, n) - self.seed_offset[entry]
         some = np.unique(which)
         word, n = np.unique(ids[ids >= 0], return_counts=True)
         self.have[word] = n
@@ -134,26 +126,25 @@ class Index:
         common = np.add.reduceat(np.minimum(self.bag_n[entry], self.have[self.bag_word[entry]]), np.cumsum(n) - n)
         self.have[word] = 0
         out = []
-        for k in some[2 * common >= threshold * 2 * np.array([len(self.items[k]) for k in some.tolist()])].tolist():
-            item, bag, begin = self.items[k], self.bags[k], begins[which == k].tolist()
-            need = threshold * 2 * len(item)
+        for k in some[common >= threshold * np.array([len(self.items[k]) for k in some.tolist()])].tolist():
+            item, bag, begin = self.items[k], self.bags[k], np.unique(begins[which == k])
+            need, slack = threshold * 2 * len(item), math.ceil(2 * (1 - threshold) * len(item))
             self.have[item] = 1
-            own = np.append(0, np.cumsum(self.have[ids]))  # id -1 is the last entry, of no word
+            own = np.append(0, np.cumsum(self.have[ids]))
             self.have[item] = 0
-            slack = int(SLACK * len(item)) + 3
+            first, last = np.maximum(begin - slack, 0), np.minimum(begin + len(item) + slack, len(ids))
+            likely = 2 * (own[last] - own[first]) >= need
             spans: list[tuple[int, int]] = []
-            for b in sorted(set(begin)):
-                a, z = max(0, b - slack), min(len(ids), b + len(item) + slack)
-                if spans and b - last <= slack // 2 and z - spans[-1][0] <= 2 * (len(item) + 2 * slack):
+            for a, z in zip(first[likely].tolist(), last[likely].tolist()):
+                if spans and a <= spans[-1][1] and z - spans[-1][0] <= 2 * (len(item) + 2 * slack):
                     spans[-1] = (spans[-1][0], z)
                 else:
                     spans.append((a, z))
-                last = b
-            spans = [(a, z) for a, z in spans if 2 * (own[z] - own[a]) >= need and 2 * sum((bag & Counter(ids[a:z].tolist())).values()) >= need]
+            spans = [(a, z) for a, z in spans if 2 * sum((bag & Counter(ids[a:z].tolist())).values()) >= need]
             if not spans:
                 continue
             width = max(z - a for a, z in spans)
-            best = (0, 0, 0, 0)
+            best = (0, 0, 0)
             for c in range(0, len(spans), 256):
                 grid = np.full((len(spans[c : c + 256]), width), -2, dtype=np.int64)
                 for row, (a, z) in enumerate(spans[c : c + 256]):
@@ -161,24 +152,25 @@ class Index:
                 score, end = align(item, grid)
                 top = int(score.argmax())
                 if score[top] > best[0]:
-                    best = (int(score[top]), spans[c + top][0] + int(end[top]), c + top, spans[c + top][0])
-            score, end, _, first = best
+                    best = (int(score[top]), spans[c + top][0] + int(end[top]), spans[c + top][0])
+            score, end, at = best
             if score >= need and score:
-                back, length = align(item[::-1], ids[first:end][::-1][None, :])
-                out.append((self.keys[k], score, len(item), score / (2 * len(item)), end - int(length[0]), end))
+                back, length = align(item[::-1], ids[at:end][::-1][None, :])
+                out += [(key, score, len(item), score / (2 * len(item)), end - int(length[0]), end) for key in self.keys[k]]
         return out
 
 
-def slices(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple]]:
-    """The items, in lists of at most about MOST_BYTES of text."""
+def slices(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
+    """The items, in lists of at most about MOST_BYTES of text, collected one at a time."""
     items = benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = total // MOST_BYTES + 1
     part = F.pmod(F.xxhash64("k", "t"), F.lit(parts))
-    return [sorted(((r.k, r.t) for r in items.filter(part == p).collect()), key=lambda r: (r[0] is None, r[0], r[1] or "")) for p in range(parts)]
+    for p in range(parts):
+        yield sorted(((r.k, r.t) for r in items.filter(part == p).collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
 
 
-def seeded(docs: DataFrame, items: list[tuple], text_col: str = "text") -> Index:
+def seeded(docs: DataFrame, items: list[tuple], threshold: float, text_col: str = "text") -> Index:
     """An index with seeds by the document frequencies over all of docs."""
     spark = docs.sparkSession
     index = Index(items)
@@ -186,32 +178,41 @@ def seeded(docs: DataFrame, items: list[tuple], text_col: str = "text") -> Index
 
     def count(batches):
         own = sent.value
-        df = np.zeros(len(own.known), dtype=np.int64)
+        df = np.zeros(len(own.vocabulary), dtype=np.int64)
         for b in batches:
             for text in b.column(0):
-                code = np.unique(codes(own.ids(text.as_py()))[1])
-                place = np.searchsorted(own.known, code)
-                place[place == len(own.known)] = 0
-                df[place[own.known[place] == code]] += 1
+                ids = own.ids(text.as_py())
+                df[np.unique(ids[ids >= 0])] += 1
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(own.known[some].view(np.int64)), pa.array(df[some])], names=["code", "n"])
-
-    frequency = {}
-    if len(index.known):
-        found = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        frequency = {r.code: r.n for r in found.collect()}  # at most as many as the slice of the benchmark has n-grams
-    sent.unpersist()
-    index.seed(frequency)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["word", "n"])
+
+    frequency = np.zeros(len(index.vocabulary), dtype=np.int64)
+    if len(frequency):
+        found = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for r in found.collect():  # at most as many as the slice of the benchmark has words
+            frequency[r.word] = r.n
+    sent.destroy()
+    index.seed(frequency, threshold)
     return index
 
 
+def _by_slice(docs: DataFrame, benchmark: DataFrame, threshold: float, text_col: str):
+    """(broadcast index, whether it is the only one) of each slice of the benchmark."""
+    found = slices(benchmark)
+    now = next(found)
+    only = True
+    while now is not None:
+        after = next(found, None)
+        only = only and after is None
+        yield docs.sparkSession.sparkContext.broadcast(seeded(docs, now, threshold, text_col)), only
+        now = after
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item that it holds: score, similarity and place (in words)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = spark.createDataFrame([], FOUND)
-    for items in slices(benchmark):
-        sent = spark.sparkContext.broadcast(seeded(docs, items, text_col))
+    out = None
+    for sent, only in _by_slice(docs, benchmark, threshold, text_col):
 
         def search(batches, sent=sent):
             for b in batches:
@@ -219,22 +220,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(zip(*found))], names=[x.split(" ")[0] for x in FOUND.split(", ")])
 
-        out = out.unionByName(rows.mapInArrow(search, FOUND))
+        made = rows.mapInArrow(search, FOUND)
+        if not only:  # the driver holds one slice at a time
+            made = shared.stored(made, "contaminated")
+            sent.destroy()
+        out = made if out is None else out.unionByName(made)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    spark = docs.sparkSession
-    at = docs.columns.index(text_col)
-    for items in slices(benchmark):
-        sent = spark.sparkContext.broadcast(seeded(docs, items, text_col))
+    at, whole = docs.columns.index(text_col), docs
+    for sent, only in _by_slice(whole, benchmark, threshold, text_col):
 
         def clean(batches, sent=sent):
             for b in batches:
                 yield b.filter(pa.array([not sent.value.find(t.as_py(), threshold) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if not only:
+            docs = shared.stored(docs, "decontaminated")
+            sent.destroy()
     return docs
 
 
