@@ -67,9 +67,9 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
 
 def covered(df: DataFrame, known: Statistics) -> DataFrame:
     """key, f_words: of each distinct candidate the share of its characters in words of the corpus."""
-    part = F.explode_outer(F.transform(F.regexp_extract_all("candidate", F.lit(PARTS), F.lit(0)), F.lower))
     each = df.groupBy("key").agg(F.first("candidate").alias("candidate"), F.count("*").alias("n"))
-    parts = each.select("key", "n", F.length("candidate").alias("size"), part.alias("word"))
+    cut = F.transform(F.regexp_extract_all("candidate", F.lit(PARTS), F.lit(0)), F.lower)
+    parts = each.select("key", "n", F.length("candidate").alias("size"), cut.alias("parts")).select("key", "n", "size", F.explode_outer("parts").alias("word"))
     hit = parts.join(known.words.select("word", F.lit(1).alias("hit")), "word", "left")
     return hit.groupBy("key").agg((F.sum(F.when(F.col("hit") == 1, F.length("word")).otherwise(0)) / F.first("size")).alias("f_words"), F.first("n").alias("n"))
 
