@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates words: space and the ASCII controls 9 to 13, as bytes.split() does.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,11 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests in local mode) a temporary folder
-    is set as checkpoint folder.
+    Only where the session names none and all runs in one process (tests in local mode)
+    a temporary folder is set as checkpoint folder.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -66,7 +70,41 @@ def open_fs(uri: str):
 
 
 def text_or_empty(c: str = "text"):
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.coalesce(quoted(c).cast("string"), F.lit(""))
+
+
+def quoted(name: str):
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, changed so that none is among names."""
+    have, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in have:
+            w = f"_{w}"
+        have.add(w.lower())
+        out.append(w)
+    return out
+
+
+def mapped(df: DataFrame, function, *more: T.StructField) -> DataFrame:
+    """df.mapInArrow(function) for a function that keeps df's columns, whatever their names, and adds `more`."""
+    names = [f"c{k}" for k in range(len(df.columns) + len(more))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, [*df.schema.fields, *more])]
+    plain = df.toDF(*names[: len(df.columns)]).mapInArrow(lambda batches: (b.rename_columns(names) for b in function(batches)), T.StructType(fields))
+    return plain.toDF(*df.columns, *(f.name for f in more))
+
+
+def partitions(df: DataFrame, target: int = 32 << 20) -> int:
+    """A number of partitions by df's size in its files: about `target` bytes each, from 20,000
+    partitions on up to half a gigabyte each.  Where the size is unknown, Spark's default."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(-(-size // target), max(20_000, -(-size // (512 << 20)))))
 
 
 def lookup(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int, many: str = "n") -> DataFrame:
@@ -80,7 +118,7 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int, many: str =
     at = max(100, n_rows // HOT)
     hot = F.broadcast(keyed.filter(F.col(many) > at).drop(many))
     cold = keyed.filter(F.col(many) <= at).drop(many)
-    columns = [*rows.columns, *(c for c in cold.columns if c != key)]
+    columns = [quoted(c) for c in [*rows.columns, *(c for c in cold.columns if c != key)]]
     warm = rows.join(hot.select(key), key, "left_anti").join(cold, key)
     return rows.join(hot, key).select(columns).unionByName(warm.select(columns))
 
@@ -99,15 +137,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     n, before = now.count(), None
     while n:
+        folder = scratch(spark, "components")
+        written = lambda df, name: stored(df, name, f"{folder}/{name}")  # noqa: B023, E731
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
         large = lookup(both, least, "u", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.distinct(), "large")
+        large = written(large.distinct(), "large")
         # Every u has smaller neighbours only; all are linked to the least of them.
-        small = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small")
+        small = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small")
         linked = lookup(large, small, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(linked.unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         total = after.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        drop(spark, folder)
         now, n = after, total["n"]
         if before == (total["n"], total["h"]):
             break
