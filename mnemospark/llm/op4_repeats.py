@@ -31,8 +31,10 @@ Texts are written once, compressed, a file for each task of the first pass; late
 passes send the few places to the files instead of shuffling the texts.
 
 Defined cases: null text is empty (no bytes, nothing removed, digest of nothing); texts
-under LENGTH bytes are untouched; rows of equal or null doc_id are rows of their own; an
-empty table gives an empty result; further columns are ignored.
+under LENGTH bytes are untouched; rows of equal or null doc_id are rows of their own; a text
+is held whole by its task (three times its bytes at most) and worked in pieces of PIECE
+bytes, about 150 bytes of memory for each of a piece; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,10 +51,14 @@ from pyspark.sql import functions as F
 from . import shared
 
 LENGTH, W, P, AROUND, BLOCK = 200, 12, 64, 48, 16
-PIECE = 1 << 20
+#: Bytes of a piece of texts, and bits that hold any place in one.
+PIECE, PLACE = 1 << 20, np.uint64(24)
+#: A key of more entries than HOT is split; it is looked for in one of SHARE texts.
+HOT, SHARE = 1 << 20, 64
 #: A place: first suffix << 32, bytes from it to its cut << 24, number of suffixes << 2, weight (1 or 2).
 RUN = 1 << 21
 ENTRY = "k1 long, k2 long, rid long, pos long"
+KEYS = "k1 long, n long, x long, y long"
 FULL, PARTIAL, SAMPLE = 0, 1, 2
 
 
@@ -139,9 +145,9 @@ def parse(data: np.ndarray, offsets: np.ndarray):
     start = np.arange(len(data) - LENGTH + 1)
     start = start[text[start] == text[start + LENGTH - 1]]
     reach = LENGTH - W - AROUND
-    bits = np.uint64(len(data).bit_length())
-    key = np.where(inside, (rolling >> bits) << bits, np.uint64(2**64 - 1) >> bits << bits) | at.astype(np.uint64)
-    least = (_sliding_min(key, reach + 1)[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # 40 bits of hash, then the place: the choice is the same in whatever piece the bytes stand.
+    key = np.where(inside, (rolling >> PLACE) << PLACE, np.uint64(2**64 - 1) >> PLACE << PLACE) | at.astype(np.uint64)
+    least = (_sliding_min(key, reach + 1)[start] & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     cut = np.where(coming[start] <= start + reach, coming[start], least) + W
     if not len(start):
         return (none.view(np.uint64), none.view(np.uint64), none, none, none, none)
@@ -179,41 +185,60 @@ def unpacked(pos: np.ndarray):
     return pos >> 32, pos >> 2 & 0x3FFFFF, pos >> 24 & 0xFF
 
 
-def pieces(rows):
-    """(data, offsets, rids, places) of consecutive texts (rid, doc_id, z, places), about PIECE bytes at a time."""
-    texts, rids, places, size = [], [], [], 0
+def pieces(rows, more: int):
+    """(data, offsets, rids, bases, places) of consecutive texts (rid, doc_id, z, places), about PIECE bytes
+    at a time.  A longer text comes in parts that begin at its bytes `bases`, PIECE apart; each has `more`
+    bytes of the next.  Places, where there are any, are those that begin in the part."""
+    texts, rids, bases, places, size = [], [], [], [], 0
 
     def joined():
-        return np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64), np.array(rids, dtype=np.int64), places
+        return np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64), np.array(rids, dtype=np.int64), np.array(bases, dtype=np.int64), places
 
     for rid, _, z, pos in rows:
-        texts.append(zlib.decompress(z))
-        rids.append(rid)
-        places.append(pos)
-        size += len(texts[-1])
-        if size >= PIECE:
-            yield joined()
-            texts, rids, places, size = [], [], [], 0
+        text = zlib.decompress(z)
+        for base in range(0, max(1, len(text)), PIECE):
+            texts.append(text[base : base + PIECE + more])
+            rids.append(rid)
+            bases.append(base)
+            places.append(pos if pos is None or len(text) <= PIECE else pos[(pos >> 32) // PIECE == base // PIECE])
+            size += len(texts[-1])
+            if size >= PIECE:
+                yield joined()
+                texts, rids, bases, places, size = [], [], [], [], 0
     if texts:
         yield joined()
 
 
 def _entries(rows):
-    for data, offsets, rids, _ in pieces(rows):
-        k1, k2, t, *rest = parse(data, offsets)
+    for data, offsets, rids, bases, _ in pieces(rows, LENGTH - 1):
+        k1, k2, t, first, *rest = parse(data, offsets)
         if len(k1):
-            yield merged(k1, k2, rids[t], *rest)
+            yield merged(k1, k2, rids[t], first + bases[t], *rest)
+
+
+def _some_keys(look):
+    """k1, n, and the least and greatest k2 of the entries of one of SHARE texts."""
+
+    def run(rows):
+        for b in look(r for r in rows if zlib.crc32(r[0].to_bytes(8, "little")) % SHARE == 0):
+            k1, k2 = (np.asarray(b.column(k)) for k in range(2))
+            at = np.flatnonzero(np.append(True, k1[1:] != k1[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[at], np.diff(np.append(at, len(k1))), np.minimum.reduceat(k2, at), np.maximum.reduceat(k2, at))], names=["k1", "n", "x", "y"])
+
+    return run
 
 
 def _closer(block: int):
     """Entries of `block` suffixes each for the places of the texts; of single suffixes for block = 1."""
 
     def run(rows):
-        for data, offsets, rids, places in pieces(r for r in rows if r[3] is not None):
+        for data, offsets, rids, bases, places in pieces((r for r in rows if r[3] is not None), 1024):
+            if not sum(map(len, places)):
+                continue
             a, b = hashes()
             sa, sb = a.sums(data), b.sums(data)
             first, count, off = unpacked(np.concatenate(places))
-            begin = np.repeat(offsets[:-1], [len(x) for x in places]) + first
+            begin = np.repeat(offsets[:-1] - bases, [len(x) for x in places]) + first
             at = _runs(begin, count)
             cut = np.repeat(begin + off, count)
             at, once = np.unique(at, return_index=True)
@@ -221,35 +246,35 @@ def _closer(block: int):
             t = np.searchsorted(offsets, at, side="right") - 1
             if block == 1:
                 one = np.ones(len(at), dtype=np.int64)
-                yield merged(a.of(sa, at, at + LENGTH), b.of(sb, at, at + LENGTH), rids[t], at - offsets[t], one, one)
+                yield merged(a.of(sa, at, at + LENGTH), b.of(sb, at, at + LENGTH), rids[t], at - offsets[t] + bases[t], one, one)
                 continue
             q = (cut - at) // block
             head = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (cut[1:] != cut[:-1]) | (at[1:] != at[:-1] + 1)))
             low, high, cut, q, t = at[head], at[np.append(head[1:], len(at)) - 1], cut[head], q[head], t[head]
             k1 = _mix(a.of(sa, cut - block * q, cut - block * q - block + 1 + LENGTH) + q.astype(np.uint64))
             k2 = _mix(b.of(sb, low, high + LENGTH) + ((high - low) * 512 + cut - low).astype(np.uint64))
-            yield merged(k1, k2, rids[t], low - offsets[t], high - low + 1, cut - low)
+            yield merged(k1, k2, rids[t], low - offsets[t] + bases[t], high - low + 1, cut - low)
 
     return run
 
 
 def _scan(batches):
-    """Status of the entries of a partition sorted by (k1, k2): rid, pos, status.
+    """Status of the entries of a partition sorted by (k1, k2): rid, pos, status.  Column `split`: k1 is dealt
+    out over several partitions and is known to have several k2.
 
     Only the last name of a batch can go on in the next; of it one row is held.
     """
-    held = None  # (k1, k2, rid, pos, weight, emitted, others at k1)
+    held = None  # (k1, k2, rid, pos, split, weight, emitted), others at k1
     for b in _chain(batches):
         if b is None:  # the end
             if held is not None:
-                yield from _status(*[np.array([x]) for x in held[:5]], np.array([held[5]]), held[6], True)[0]
+                yield from _status(*[np.array([x]) for x in held[0]], held[1], True)[0]
             return
-        k1, k2, rid, pos = (np.asarray(b.column(k)) for k in range(4))
-        weight, emitted, others = pos & 3, np.zeros(len(k1), dtype=bool), False
+        k1, k2, rid, pos, split = (np.asarray(b.column(k)) if k < 4 else b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        now, others = (k1, k2, rid, pos, split, pos & 3, np.zeros(len(k1), dtype=bool)), False
         if held is not None:
-            k1, k2, rid, pos, weight, emitted = (np.append(np.array([h], dtype=x.dtype), x) for h, x in zip(held[:6], (k1, k2, rid, pos, weight, emitted)))
-            others = held[6]
-        out, held = _status(k1, k2, rid, pos, weight, emitted, others, False)
+            now, others = tuple(np.append(np.array([h], dtype=x.dtype), x) for h, x in zip(held[0], now)), held[1]
+        out, held = _status(*now, others, False)
         yield from out
 
 
@@ -260,7 +285,7 @@ def _chain(batches):
     yield None
 
 
-def _status(k1, k2, rid, pos, weight, emitted, others, last):
+def _status(k1, k2, rid, pos, split, weight, emitted, others, last):
     new1 = np.append(True, k1[1:] != k1[:-1])
     new = new1 | np.append(True, k2[1:] != k2[:-1])
     group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -268,11 +293,11 @@ def _status(k1, k2, rid, pos, weight, emitted, others, last):
     run = (np.cumsum(new1) - 1)[begin]
     more = np.bincount(run) > 1
     more[0] |= others
-    more, twice = more[run], total > 1
+    more, twice = more[run] | split[begin], total > 1
     held = None
     if not last:
         k = begin[-1]
-        held = (k1[k], k2[k], rid[k], pos[k], min(int(total[-1]), 2), bool(emitted[k] or twice[-1]), bool(more[-1]))
+        held = (k1[k], k2[k], rid[k], pos[k], split[k], min(int(total[-1]), 2), bool(emitted[k] or twice[-1])), bool(more[-1])
     done = np.ones(len(begin), dtype=bool)
     done[-1] = last
     rows = []
@@ -371,12 +396,13 @@ def _finish(keep_text: bool):
             kept, removed, runs = text, 0, 0
             if pos is not None:
                 first, count, _ = unpacked(pos)
-                step = np.zeros(len(text) + 1, dtype=np.int64)
-                np.add.at(step, first, 1)
-                np.add.at(step, first + count - 1 + LENGTH, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+                begin, end = first, first + count - 1 + LENGTH
+                order = np.argsort(begin, kind="stable")
+                begin, reach = begin[order], np.maximum.accumulate(end[order])
+                new = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+                begin, end = begin[new], reach[np.append(new[1:], len(reach)) - 1]
+                removed, runs = int((end - begin).sum()), len(begin)
+                kept = b"".join([text[a:z] for a, z in zip([0, *end.tolist()], [*begin.tolist(), len(text)])])
             rows.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
             size += len(kept)
             if len(rows) >= 10_000 or keep_text and size > 8 << 20:
@@ -390,12 +416,17 @@ def _finish(keep_text: bool):
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with keep_text also the bytes left."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), shared.quoted(text_col).cast("string").alias("text"))
     texts = write_texts(rows, shared.scratch(docs.sparkSession, "texts"))
-    full, places, close = None, None, [_entries, _closer(BLOCK), _closer(1)]
-    for look in close:
+    full, places = None, None
+    for look in (_entries, _closer(BLOCK), _closer(1)):
         entries = with_texts(texts, places, look, ENTRY)
-        flags = shared.stored(entries.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_scan, "rid long, pos long, status int"), "flags")
+        # Keys of many entries with several k2: fewer than entries / HOT, so their table is small.  They are dealt out by k2.
+        some = with_texts(texts, places, _some_keys(look), KEYS).groupBy("k1").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y"))
+        hot = shared.stored(some.filter((F.col("n") * SHARE > HOT) & (F.col("x") < F.col("y"))).select("k1", F.lit(True).alias("split")), "hot")
+        entries = entries.join(F.broadcast(hot), "k1", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+        dealt = entries.repartition("k1", F.when(F.col("split"), F.pmod("k2", F.lit(1 << 16))).otherwise(0)).sortWithinPartitions("k1", "k2")
+        flags = shared.stored(dealt.mapInArrow(_scan, "rid long, pos long, status int"), "flags")
         known = flags.filter(F.col("status") == FULL).select("rid", "pos")
         full = known if full is None else full.unionByName(known)
         places = flags.filter(F.col("status") != FULL).select("rid", "pos")

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -27,9 +28,11 @@ def test_query_whole_table(spark, sf):
     assert sorted(map(str, map(tuple, op.op4_repeated_bytes(spark, sf).collect()))) == brute(rows)
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 700])
-def test_edited_copies(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece, hot", [(1 << 20, 1 << 20), (700, 1 << 20), (4096, 2)])
+def test_edited_copies(spark, monkeypatch, piece, hot):
     monkeypatch.setattr(op, "PIECE", piece)
+    monkeypatch.setattr(op, "HOT", hot)  # 2: nearly every key that recurs is split
+    monkeypatch.setattr(op, "SHARE", 64 if hot > 2 else 1)
     r = random.Random(piece)
     letters = lambda n, abc="abcdefgh ": "".join(r.choice(abc) for _ in range(n))
     base = [letters(900), "x" * 450, "ab" * 300, letters(230, "ab"), "é" * 150]
@@ -48,3 +51,25 @@ def test_edited_copies(spark, monkeypatch, piece):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op.remove_repeats(docs).count() == 0
+
+
+def test_one_text_of_fifty_megabytes(spark):
+    """Passages planted far apart in one text, over the borders of its pieces."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    text = r.integers(97, 123, 50_000_000, dtype=np.uint8)
+    text[0::7] = 32
+    for k, at in enumerate((op.PIECE - 150, 3 * op.PIECE - 1, 20_000_000, 47 * op.PIECE - 299)):
+        text[at : at + 300 + k] = text[1_500_000 : 1_500_300 + k]
+    want = np.zeros(len(text), dtype=bool)
+    places = [1_500_000, op.PIECE - 150, 3 * op.PIECE - 1, 20_000_000, 47 * op.PIECE - 299]
+    for a, b in itertools.permutations(places, 2):  # each pair's common run, with what agrees by chance around it
+        x, y = (text[p - 50 : p + 400] for p in (a, b))
+        differ = np.flatnonzero(x != y)
+        start, stop = differ[differ < 50].max(initial=-1) + 1, differ[differ >= 50].min()
+        want[a - 50 + start : a - 50 + stop] = True
+    docs = spark.createDataFrame([(1, text.tobytes().decode())], "doc_id long, text string")
+    got = op.remove_repeats(docs, keep_text=True).first()
+    assert got.n_bytes == len(text) and got.n_removed == int(want.sum()) and got.n_spans == 5
+    assert got.kept == text[~want].tobytes()
