@@ -7,17 +7,23 @@ revises it (deletes and inserts); deletions are the negated sums of what the led
 holds.  Totals are the sums of the rollups of all committed batches, so they are
 additive and never need the documents again.
 
-A batch counts from the moment its marker file exists.  Marker files are created once
-(the file system refuses a second), and everything a batch writes lies in a folder of
-its attempt, which the marker names: a batch that is repeated or broken off changes nothing.
+Committed batches stand in a log of numbered files, each naming a batch and its attempt.
+A batch reads the log, writes all it has into a folder of its attempt, and commits by
+creating the log's next number, which only one writer can (rename without overwriting; on
+a local disk a hard link).  A writer that finds the number taken reads the log again: if its
+batch stands there now, it is done; if not, it starts over from the new state.  So a batch
+that is repeated, raced or broken off counts once or not at all, and of two batches that
+delete the same document the second finds nothing left.
 
 Defined cases: null source, language or tokenizer is a group of its own; null doc_id is
 a document like any other; repeated rows each count, and a delete removes all of them;
-deleting an unknown document does nothing; null counts are 0; an empty batch commits.
+deleting an unknown document does nothing; null counts are 0; an empty batch commits;
+further columns are ignored; texts of any length are counted whole.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import pyarrow as pa
@@ -43,11 +49,37 @@ class TokenCounts:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def committed(self) -> dict[str, str]:
-        """Attempt folder of each committed batch."""
+        """Attempt of each committed batch, in the order of the log."""
         fs, p = self._path("commits")
         if not fs.exists(p):
             return {}
-        return dict(f.getPath().getName().removesuffix(".done").rsplit("@", 1) for f in fs.listStatus(p) if f.getPath().getName().endswith(".done"))
+        names = sorted(f.getPath().getName() for f in fs.listStatus(p))
+        return dict(self._entry(n).rsplit("@", 1) for n in names if n.isdigit())
+
+    def _entry(self, name: str) -> str:
+        fs, p = self._path(f"commits/{name}")
+        src = fs.open(p)
+        try:
+            return bytes(src.readAllBytes()).decode()
+        finally:
+            src.close()
+
+    def _commit(self, number: int, batch: str, attempt: str) -> bool:
+        """Create the log's entry of this number; False if there is one."""
+        fs, draft = self._path(f"drafts/{attempt}")
+        _, entry = self._path(f"commits/{number:012d}")
+        fs.mkdirs(entry.getParent())
+        out = fs.create(draft, True)
+        out.write(f"{batch}@{attempt}".encode())
+        out.close()
+        if fs.getUri().getScheme() != "file":
+            return not fs.exists(entry) and fs.rename(draft, entry)
+        local = [p.toUri().getPath() for p in (draft, entry)]
+        try:
+            os.link(*local)
+        except FileExistsError:
+            return False
+        return True
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         paths = [f"{self.folder}/batches/{batch}@{attempt}/{kind}" for batch, attempt in sorted(self.committed().items())]
@@ -68,8 +100,19 @@ class TokenCounts:
         """
         if not batch or any(c in batch for c in "@/\\ "):
             raise ValueError("a batch name has no @, slash or space")
-        if batch in self.committed():
-            return False
+        while True:
+            log = self.committed()
+            if batch in log:
+                return False
+            attempt = uuid.uuid4().hex
+            at = f"{self.folder}/batches/{batch}@{attempt}"
+            self._changes(at, inserts, deletes, revised)
+            if self._commit(len(log), batch, attempt):
+                return True
+            shared.drop(self.spark, at)
+
+    def _changes(self, at: str, inserts: DataFrame | None, deletes: DataFrame | None, revised: DataFrame | None) -> None:
+        """Write ledger and rollup of a batch into its folder."""
         counted = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in GROUP], F.lit(1).cast("long").alias("n_docs"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
         parts = [counted(df) for df in (inserts, revised) if df is not None]
         gone = [df.select(F.col("doc_id").cast("long").alias("gone")) for df in (deletes, revised) if df is not None]
@@ -80,16 +123,8 @@ class TokenCounts:
         rows = parts[0] if parts else self.spark.createDataFrame([], LEDGER)
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        attempt = uuid.uuid4().hex
-        at = f"{self.folder}/batches/{batch}@{attempt}"
         ledger = shared.stored(rows, "ledger", f"{at}/ledger")
         ledger.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{at}/rollup")
-        claim_fs, claim = self._path(f"commits/{batch}.claim")
-        if not claim_fs.createNewFile(claim) and batch in self.committed():
-            return False
-        fs, marker = self._path(f"commits/{batch}@{attempt}.done")
-        fs.create(marker, False).close()
-        return True
 
 
 def counts(docs: DataFrame, tokenizers: dict[str, str | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +138,7 @@ def counts(docs: DataFrame, tokenizers: dict[str, str | None], id_col: str = "do
                 n = [len(f(t)) // 4 if f else len(t.encode().split()) for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())], names=["doc_id", *GROUP, "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), shared.quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 
 

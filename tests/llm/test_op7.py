@@ -42,6 +42,33 @@ def test_batches(spark, tmp_path):
         store.apply("x/y")
 
 
+def test_two_writers(spark, tmp_path, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(r, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+    a, b = (op.TokenCounts(spark, str(tmp_path / "s")) for _ in range(2))
+    listed, stale = b.committed, [{}]
+    b.committed = lambda: stale.pop() if stale else listed()
+    assert a.apply("x", inserts=rows((1, "s", "en", "t", 10)))
+    assert not b.apply("x", inserts=rows((1, "s", "en", "t", 99)))  # had read the log before a wrote it
+    assert a.totals().first().n_tokens == 10 and list(listed()) == ["x"]
+    gone = spark.createDataFrame([(1,)], "doc_id long")
+    stale.append(listed())
+    assert a.apply("y", deletes=gone)
+    assert b.apply("z", deletes=gone)  # starts over and finds nothing left to delete
+    assert a.totals().count() == 0 and list(listed()) == ["x", "y", "z"]
+    assert a._commit(1, "w", "lost") is False
+
+
+def test_special_token_strings(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "x<|endoftext|>y\n<|endofte"]
+    docs = spark.createDataFrame([(k, t, "s", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.n_tokens for r in op.counts(docs, {"t": path}).collect()}
+    assert got == {k: len(tok.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
 def test_broken_off_batch_counts_nothing(spark, tmp_path):
     store = op.TokenCounts(spark, str(tmp_path / "s"))
     rows = spark.createDataFrame([(1, "s", "en", "t", 10)], "doc_id long, source string, lang string, tokenizer string, n_tokens long")
