@@ -12,7 +12,14 @@ as pairs of chunks, so that no task holds more than 2 * LIMIT of one bucket.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other;
 a null doc_id is kept and never names a component while the component has another
-id; repeated rows are each returned; an empty table gives an empty result.
+id; repeated rows are each returned; of rows that tie for the least id of a class keep_one()
+keeps any one; a text is fingerprinted whole (some 60 bytes of memory a word); an empty
+table gives an empty result; further columns are ignored, or passed through by keep_one(),
+whatever their names.
+
+Cost: a bucket holds the fingerprints that agree in 20 or 21 bits, so random meetings are
+about 67 * n * n / 2 ** 22 for n distinct fingerprints (as many as the rest of the work, some
+10,000 operations a fingerprint, from about n = 600 million on).
 """
 
 from __future__ import annotations
@@ -58,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), shared.quoted(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,19 +188,21 @@ def kept(docs: DataFrame, fps: DataFrame, classes: DataFrame, fp_of, id_col: str
     """docs with one row left of each of classes; fps holds doc_id and fp_of(text) of each row."""
     # Rows that tie as representative of a class: none where ids are unique.
     ties = shared.stored(shared.lookup(fps, classes, "fp", fps.count()).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").count().filter("count > 1").select("root"), "ties")
-    at, names = docs.columns.index(text_col), [*docs.columns, "__fp"]
+    at = docs.columns.index(text_col)
+    fp, tree, least, many = shared.fresh(docs.columns, "_fp", "_root", "_least", "_n")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fp_of(t.as_py()) for t in b.column(at)], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fp_of(t.as_py()) for t in b.column(at)], pa.int64())], names=[*map(str, range(b.num_columns + 1))])
 
-    keyed = classes.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"), F.col("n").alias("__n"))
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    found = shared.lookup(rows, keyed, "__fp", fps.count(), "__n").filter(F.col(id_col).cast("long").eqNullSafe(F.col("__least")))
+    keyed = classes.select(F.col("fp").alias(fp), F.col("root").alias(tree), F.col("component_id").alias(least), F.col("n").alias(many))
+    rows = shared.mapped(docs, run, T.StructField(fp, T.LongType()))
+    found = shared.lookup(rows, keyed, fp, fps.count(), many).filter(shared.quoted(id_col).cast("long").eqNullSafe(F.col(least)))
     if not ties.isEmpty():
-        tied = found.join(ties, found["__root"] == ties["root"], "left_semi").dropDuplicates(["__root"])
-        found = found.join(ties, found["__root"] == ties["root"], "left_anti").unionByName(tied)
-    return found.select(*docs.columns)
+        ties = ties.withColumnRenamed("root", tree)
+        tied = found.join(ties, tree, "left_semi").dropDuplicates([tree])
+        found = found.join(ties, tree, "left_anti").unionByName(tied)
+    return found.select(*[shared.quoted(c) for c in docs.columns])
 
 
 def classified(fps: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -72,3 +72,10 @@ def test_edges(spark):
     want = brute_components([(d, brute_fp(t)) for d, t, _ in rows])
     assert got == sorted(((d, int(np.uint64(f).view(np.int64)), c) for d, f, c in want), key=key)
     assert op.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_with_clashing_and_dotted_names(spark):
+    same = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, same, 1, 2, 3, 4, 5), (2, same, 1, 2, 3, 4, 5), (1, same, 6, 2, 3, 4, 5), (3, "quite another text that is here", 1, 2, 3, 4, 5)], ["doc_id", "text", "__fp", "_root", "a.b", "_n", "__least"])
+    got = op.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
