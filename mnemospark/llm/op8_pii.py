@@ -15,8 +15,10 @@ CONTEXT stands within NEAR characters before or after).  A further span that tou
 a base span, or a span of an earlier further kind, is dropped.
 
 Defined cases: null text is empty and has no span; a null doc_id is kept; repeated
-rows are each judged; an empty table gives an empty result; further columns are
-ignored by find(), and kept by redact().
+rows are each judged; of kinds that match the same place the base kinds all count, and
+further kinds give way; texts of any length are read whole, in one row's memory; an empty
+table gives an empty result; further columns are ignored by find(), and kept by redact(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -122,17 +124,18 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None)
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every span replaced by its kind in brackets; touched texts get their new length."""
-    names = [c for c in docs.columns if c != text_col]
-    found = find(docs.select(*[F.col(c).alias(f"c_{c}") for c in names], F.col(text_col).alias("_raw"), F.col(text_col)), text_col, [*[f"c_{c}" for c in names], "_raw"])
+    kept = {c: f"c{k}" for k, c in enumerate(docs.columns) if c != text_col}
+    text = shared.quoted(text_col)
+    found = find(docs.select(*[shared.quoted(c).alias(k) for c, k in kept.items()], text.alias("raw"), text.alias("text")), "text", [*kept.values(), "raw"])
     new = F.expr("""
       aggregate(pii, named_struct('at', 0, 'out', ''),
         (a, x) -> if(x.start < a.at, named_struct('at', greatest(a.at, x.end), 'out', a.out),
           named_struct('at', x.end, 'out', concat(a.out, substring(_text, a.at + 1, x.start - a.at), '[', upper(x.kind), ']'))),
         a -> concat(a.out, substring(_text, a.at + 1, length(_text))))""")
-    found = found.withColumn("_new", F.when(F.size("pii") > 0, new).otherwise(F.col("_raw")))
-    back = {c: F.col(f"c_{c}") for c in names} | {text_col: F.col("_new")}
-    if length_col in names:
-        back[length_col] = F.when(F.size("pii") > 0, F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"c_{length_col}"))
+    found = found.withColumn("_new", F.when(F.size("pii") > 0, new).otherwise(F.col("raw")))
+    back = {c: F.col(k) for c, k in kept.items()} | {text_col: F.col("_new")}
+    if length_col in kept:
+        back[length_col] = F.when(F.size("pii") > 0, F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(F.col(kept[length_col]))
     return found.select(*[back[c].alias(c) for c in docs.columns])
 
 

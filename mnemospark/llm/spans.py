@@ -17,8 +17,8 @@ def between(text: Column, pattern: str, found: Column) -> Column:
 
 
 def located(found: str, pieces: str) -> Column:
-    """structs (s, start): each match with its first code point, counted from 0."""
+    """structs (s, start): each match with its first code point, counted from 0; one fold over the pieces."""
     return F.expr(
-        f"transform({found}, (x, i) -> named_struct('s', x, 'start',"
-        f" aggregate(slice({pieces}, 1, i + 1), 0, (a, y) -> a + length(y)) + aggregate(slice({found}, 1, i), 0, (a, y) -> a + length(y))))"
+        f"aggregate(zip_with(slice({pieces}, 1, size({found})), {found}, (p, s) -> named_struct('p', p, 's', s)), named_struct('at', 0, 'out', cast(array() as array<struct<s: string, start: int>>)),"
+        f" (a, x) -> named_struct('at', a.at + length(x.p) + length(x.s), 'out', concat(a.out, array(named_struct('s', x.s, 'start', a.at + length(x.p))))), a -> a.out)"
     )
