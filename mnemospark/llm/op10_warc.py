@@ -2,7 +2,7 @@
 
 Each record is a gzip member of its own.  The reader walks a file once: it inflates
 member after member piece by piece, frames the block by Content-Length, and checks
-the payload digest; it never holds more than one record.  Of records with equal
+the digests of block and payload; it never holds more than one record.  Of records with equal
 payloads of at least `least` bytes the one of smallest id is a response, the others
 are revisits of it (identical-payload-digest) whose block holds the HTTP head alone.
 
@@ -10,7 +10,9 @@ Defined cases: null payload is empty; a null id is written as urn:page:null and
 never referred to while its payload has an id; rows that tie on the smallest id are
 all responses; line ends in URLs are percent-encoded, a null URL is empty; an empty
 table gives no archive and no row; further columns are ignored.  In reading, a
-damaged or cut-off record gives a row with `error` set and ends its file.
+damaged or cut-off record gives a row with `error` set and ends its file; a record whose
+block or payload has another digest than it names has digest_ok false (null if it names
+none; a revisit's payload digest is that of the record it refers to and is not checked).
 """
 
 from __future__ import annotations
@@ -105,17 +107,19 @@ class WarcReader:
         left = int(head["content-length"]) if head.get("content-length", "").isdigit() else -1
         if left < 0:
             raise ValueError("no Content-Length")
-        declared = None
+        declared, block = None, hashlib.sha1()
         if head.get("content-type", "").startswith("application/http"):
-            before = len(data)
             http = until(b"\r\n\r\n")
+            block.update(http + b"\r\n\r\n")
             left -= len(http) + 4
+            if left < 0:
+                raise ValueError("longer than its Content-Length")
             declared = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
-            del before
         sha, size, kept = hashlib.sha1(), 0, []
         while True:
             part = data[: left - size]
             sha.update(part)
+            block.update(part)
             size += len(part)
             if self.keep:
                 kept.append(part)
@@ -129,11 +133,13 @@ class WarcReader:
             data += more
         if data != b"\r\n\r\n":
             raise ValueError("longer than its Content-Length")
-        named = head.get("warc-payload-digest", "").removeprefix("sha1:")
+        named, whole = (head.get(f"warc-{x}-digest", "").removeprefix("sha1:") for x in ("payload", "block"))
         revisit = head.get("warc-type") == "revisit"
+        said = lambda sha, name: not name or base64.b32encode(sha.digest()).decode() == name
+        checked = [said(block, whole)] * bool(whole) + [said(sha, named)] * (bool(named) and not revisit)
         return {
             "record_id": head.get("warc-record-id", "").strip("<>"), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None,
-            "payload_bytes": declared if revisit else size, "payload_digest": named, "digest_ok": None if revisit else base64.b32encode(sha.digest()).decode() == named, "payload": b"".join(kept) if self.keep else None,
+            "payload_bytes": declared if revisit else size, "payload_digest": named, "digest_ok": all(checked) if checked else None, "payload": b"".join(kept) if self.keep else None,
         }
 
 
@@ -142,7 +148,7 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col:
 
     What a lost task has left stands in no manifest and is never read.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    rows = pages.select(shared.quoted(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     firsts = shared.stored(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")), "firsts", f"{out_dir}/_firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
