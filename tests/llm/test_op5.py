@@ -27,6 +27,15 @@ def test_edges(spark):
     assert op.judge(docs.limit(0)).count() == 0 and op.filter_documents(docs.limit(0)).count() == 0
 
 
+def test_sample_reads_few_files(spark, tmp_path):
+    docs = spark.range(0, 4000, 1, 40).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 60) AS text")
+    docs.write.parquet(str(tmp_path / "many files"))
+    docs = spark.read.parquet(str(tmp_path / "many files"))
+    some = op._few_files(docs, "text")
+    assert some.count() == 100 * op.FILES and len(docs.inputFiles()) == 40
+    assert set(r[0] for r in op.plan(docs)) == set(op.RULES)
+
+
 def test_order_changes_cost_only(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     order = [r[0] for r in op.plan(docs)]
