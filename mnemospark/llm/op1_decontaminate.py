@@ -162,7 +162,7 @@ class Index:
 
 def slices(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
     """The items, in lists of at most about MOST_BYTES of text, collected one at a time."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("k"), shared.quoted(text_col).cast("string").alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = total // MOST_BYTES + 1
     part = F.pmod(F.xxhash64("k", "t"), F.lit(parts))
@@ -188,7 +188,7 @@ def seeded(docs: DataFrame, items: list[tuple], threshold: float, text_col: str
 
     frequency = np.zeros(len(index.vocabulary), dtype=np.int64)
     if len(frequency):
-        found = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        found = docs.select(shared.quoted(text_col).cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         for r in found.collect():  # at most as many as the slice of the benchmark has words
             frequency[r.word] = r.n
     sent.destroy()
@@ -210,7 +210,7 @@ def _by_slice(docs: DataFrame, benchmark: DataFrame, threshold: float, text_col:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item that it holds: score, similarity and place (in words)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), shared.quoted(text_col).cast("string").alias("text"))
     out = None
     for sent, only in _by_slice(docs, benchmark, threshold, text_col):
 
@@ -237,7 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
             for b in batches:
                 yield b.filter(pa.array([not sent.value.find(t.as_py(), threshold) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = shared.mapped(docs, clean)
         if not only:
             docs = shared.stored(docs, "decontaminated")
             sent.destroy()

@@ -180,7 +180,7 @@ def fit(labelled: DataFrame, known: Statistics, trees: int = 40, depth: int = 8)
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """doc_id, path, rule, start, end, candidate, before, after of each proposal (end exclusive, in code points)."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), shared.text_or_empty(text_col).alias("text"))
+    df = docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), path.alias("path"), shared.text_or_empty(text_col).alias("text"))
     text = F.col("text")
     df = df.withColumn("ma", spans.matches(text, ASSIGNED, text.rlike("[=:]"))).withColumn("mb", spans.matches(text, BARE, text.rlike("[0-9]")))
     df = df.filter((F.size("ma") > 0) | (F.size("mb") > 0))

@@ -14,7 +14,8 @@ rank table u64, word offsets of blocks u64, escapes u64, words u64.
 
 Defined cases: null or empty text has the end id alone; a null doc_id sorts first
 and is kept; rows of equal doc_id each stand on their own, ordered by text; an empty
-table gives no file and no row; further columns are ignored.
+table gives no file and no row; further columns are ignored; a text is encoded whole, and
+one of more than GROUP ids is a group of its own.
 """
 
 from __future__ import annotations
@@ -193,8 +194,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [part], "path": [f"{out_dir}/{name}"], "n_docs": [docs_n], "n_tokens": [ids_n]}, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sorted_rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = docs.select(shared.quoted(id_col).cast("long").alias("id"), shared.quoted(text_col).cast("string").alias("text"))
+    sorted_rows = rows.repartitionByRange(shared.partitions(rows), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
     made = shared.stored(sorted_rows.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "manifest", f"{out_dir}/_manifest")
     # One row per shard of an advisory partition's size, not per document.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

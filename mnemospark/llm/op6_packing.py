@@ -10,8 +10,8 @@ is less than LENGTH: it is cut at powers of two, which need no padding.
 Equal texts have equal keys; the id breaks the tie, so copies spread over partitions.
 
 Defined cases: null or empty text is the end id alone; a null doc_id sorts first and
-is kept; repeated rows are each packed; an empty table gives an empty result; further
-columns are ignored.
+is kept; repeated rows are each packed; a long text is encoded whole and sorted in segments;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str =
                     kinds = [*[pa.int64()] * 4, pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["key", "doc_id", "start", "doc_tokens", "wide", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), shared.quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "key long, doc_id long, start long, doc_tokens long, wide int, ids binary")
 
 
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, length: int = LENG
         if rows:
             yield batch(rows)
 
-    rows = tokens.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
+    rows = tokens.repartitionByRange(shared.partitions(tokens), *order).sortWithinPartitions(*order, "ids")
     return rows.select("doc_id", "start", "doc_tokens", "wide", "ids").mapInArrow(run, PIECES + ", ids binary" * keep_ids)
 
 

@@ -46,7 +46,7 @@ def test_query_whole_table(spark, sf):
 
 
 def test_edges(spark, tmp_path):
-    rows = [(5, None, 1), (None, "x", 1), (5, "b  c\t d\n\n é", 1), (5, "", 2), (1, " lead", 0), (1, " lead", 0), (2, "word " * 30000, 0), (9, "日本\x1c a", 0)]
+    rows = [(5, None, 1), (None, "x", 1), (5, "b  c\t d\n\n é", 1), (5, "", 2), (1, " lead", 0), (1, " lead", 0), (2, "word " * 30000, 0), (9, "日本\x1c a", 0), (10, "hello <|endoftext|> world", 0), (11, "<|endoftext|><|endoftext|>\nx<|endoftext|>", 0), (12, "<|endofte xt|>", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start long")
     m = op.write_token_files(docs, f"{tmp_path}/a", public_tokenizers.path("byte_bpe_50k.json"), 2)
     got = [tuple(r) for r in op.read_token_files(m).orderBy("start").collect()]

@@ -31,6 +31,9 @@ def check(rows, pieces):
                 assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], dtype="<u4").tobytes())
                 at += p.length
             assert at == len(ids)
+    for d in {d for d, _ in want}:  # of rows that share an id: all places of all, whichever the row
+        places = sorted((p.doc_tokens, x) for p in by_doc[d] for x in range(p.start, p.start + p.length))
+        assert places == sorted((len(i), x) for e, i in want if e == d for x in range(len(i)))
     assert sum(p.length for p in pieces) == sum(len(i) for _, i in want)
     for spans in by_sequence.values():
         end = 0
@@ -40,6 +43,23 @@ def check(rows, pieces):
         assert end <= 2048 and (end == 2048 or end & (end - 1) == 0)
 
 
+def test_sequences_follow_the_curve(spark, sf):
+    """Documents start in the order of their keys along the sequences, and copies lie together."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    tok, matrix = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), op.projection()
+    rows = docs.collect()
+    ids = [np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [1], dtype="<u4") for r in rows]
+    keys = dict(zip([r.doc_id for r in rows], op.curve_keys(ids, matrix).tolist()))
+    pieces = op.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1).collect()
+    walk = [(keys[p.doc_id], p.doc_id, p.start) for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset))]
+    assert walk == sorted(walk)
+
+
+def test_special_token_strings(spark):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|startoftext|><|endoftext|>"), (3, "a <|ENDOFTEXT|> b<|endoftext|>")]
+    check(rows, op.pack(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), 1).collect())
+
+
 def test_query_whole_table(spark, sf):
     check([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], op.op6_curve_packing(spark, sf).collect())
 
