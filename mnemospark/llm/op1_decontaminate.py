@@ -3,14 +3,15 @@
 1. The n-grams of the test items (N = 1: words) are counted over all training documents
    (document frequency; only the items' own are counted, so the counts are no larger than
    the benchmark).
-2. Seeds: of an item of L words the L - ceil(threshold * L) + 1 rarest places.  An alignment
-   that reaches the threshold matches ceil(threshold * L) words of the item at least, so it
-   leaves out fewer words than there are seeds: one of its matches is a seed.
-3. A document's words are looked up in the seeds.  Around each hit a window that holds
-   every alignment through it is aligned with the item by Smith-Waterman on words
-   (match 2, mismatch -1, gap -1).  similarity = score / (2 * words of the item).
-   Documents and windows whose words could not reach the threshold even if all in
-   order are skipped.  No step loses a document: results equal exhaustive alignment.
+2. Seeds: an alignment that reaches the threshold matches m = ceil(threshold * L) words of
+   an item's L at least.  Of the item's L - m + k rarest places (k = HITS, or less in a short
+   item) it therefore matches k at least.  Those places are the seeds.
+3. A document's words are looked up in the seeds.  The gaps of such an alignment are
+   2 * (1 - threshold) * L at most, so k hits whose diagonals lie that close together mark
+   a window that holds every alignment through them; it is aligned with the item by
+   Smith-Waterman on words (match 2, mismatch -1, gap -1), unless its words could not reach
+   the threshold even if all in order.  similarity = score / (2 * words of the item).
+   No step loses a document: results equal exhaustive alignment.
 
 The benchmark is held by every task while its text is at most MOST_BYTES; a larger
 one is worked off in slices, one at a time, each against all documents.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SHORTEST, THRESHOLD, MOST_BYTES = 3, 0.5, 32 << 20
+SHORTEST, THRESHOLD, HITS, MOST_BYTES = 3, 0.5, 4, 32 << 20
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%&$-_/\\«»“”‘’…"
 FOUND = "doc_id long, item_id long, score long, item_words long, similarity double, start_word long, end_word long"
 _ASCII = {ord(c): " " for c in PUNCTUATION if c.isascii()}
@@ -92,16 +93,17 @@ class Index:
         self.keys = list(keys.values())
         self.items = [np.array(x, dtype=np.int64) for x in keys]
         self.bags = [Counter(x) for x in keys]
-        self.bag_at = np.cumsum([0, *(len(b) for b in self.bags)])
-        self.bag_word, self.bag_n = (np.array([x for b in self.bags for x in part(b)], dtype=np.int64) for part in (Counter.keys, Counter.values))
-        self.have = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)  # of the document at hand; zero between documents
 
     def seed(self, frequency: np.ndarray, threshold: float) -> None:
         """Take each item's rarest words as seeds; frequency: documents with each word."""
-        seeds = []
+        seeds, self.hits = [], []
         for k, item in enumerate(self.items):
-            rare = np.argsort(frequency[item], kind="stable")[: len(item) - math.ceil(threshold * len(item)) + 1]
+            spare = len(item) - math.ceil(threshold * len(item))
+            self.hits.append(max(1, min(HITS, len(item) - spare)))
+            rare = np.argsort(frequency[item], kind="stable")[: spare + self.hits[-1]]
             seeds += [(int(item[i]), k, int(i)) for i in rare if frequency[item[i]]]
+        self.hits = np.array(self.hits, dtype=np.int64)
+        self.slack = np.array([math.ceil(2 * (1 - threshold) * len(x)) for x in self.items], dtype=np.int64)
         seeds.sort()
         self.seed_item, self.seed_offset = (np.array([x[j] for x in seeds], dtype=np.int64) for j in (1, 2))
         self.seed_at = np.searchsorted(np.array([w for w, _, _ in seeds], dtype=np.int64), np.arange(len(self.vocabulary) + 1))
@@ -118,26 +120,21 @@ class Index:
         if not len(hit):
             return []
         entry, n = joined(self.seed_at, ids[hit])
-        which, begins = self.seed_item[entry], np.repeat(hit, n) - self.seed_offset[entry]
-        some = np.unique(which)
-        word, n = np.unique(ids[ids >= 0], return_counts=True)
-        self.have[word] = n
-        entry, n = joined(self.bag_at, some)
-        common = np.add.reduceat(np.minimum(self.bag_n[entry], self.have[self.bag_word[entry]]), np.cumsum(n) - n)
-        self.have[word] = 0
+        which, begin = self.seed_item[entry], np.repeat(hit, n) - self.seed_offset[entry]
+        order = np.lexsort((begin, which))
+        which, begin = which[order], begin[order]
+        last = np.arange(len(which)) + self.hits[which] - 1
+        one = np.flatnonzero(last < len(which))
+        one = one[(which[last[one]] == which[one]) & (begin[last[one]] - begin[one] <= self.slack[which[one]])]
+        which, first, last = which[one], begin[last[one]] - self.slack[which[one]], begin[one] + self.slack[which[one]]
         out = []
-        for k in some[common >= threshold * np.array([len(self.items[k]) for k in some.tolist()])].tolist():
-            item, bag, begin = self.items[k], self.bags[k], np.unique(begins[which == k])
-            need, slack = threshold * 2 * len(item), math.ceil(2 * (1 - threshold) * len(item))
-            self.have[item] = 1
-            own = np.append(0, np.cumsum(self.have[ids]))
-            self.have[item] = 0
-            first, last = np.maximum(begin - slack, 0), np.minimum(begin + len(item) + slack, len(ids))
-            likely = 2 * (own[last] - own[first]) >= need
+        for k in np.unique(which).tolist():
+            item, bag = self.items[k], self.bags[k]
+            need, slack = threshold * 2 * len(item), int(self.slack[k])
             spans: list[tuple[int, int]] = []
-            for a, z in zip(first[likely].tolist(), last[likely].tolist()):
+            for a, z in zip(np.maximum(first[which == k], 0).tolist(), np.minimum(last[which == k] + len(item), len(ids)).tolist()):
                 if spans and a <= spans[-1][1] and z - spans[-1][0] <= 2 * (len(item) + 2 * slack):
-                    spans[-1] = (spans[-1][0], z)
+                    spans[-1] = (spans[-1][0], max(z, spans[-1][1]))
                 else:
                     spans.append((a, z))
             spans = [(a, z) for a, z in spans if 2 * sum((bag & Counter(ids[a:z].tolist())).values()) >= need]
