@@ -21,6 +21,8 @@ SLUG_STOPWORDS = (
 ).split()
 # Content prefix and the kind it implies.
 KIND_PREFIXES = {"remember:": "fact", "fact:": "fact", "decision:": "decision", "preference:": "preference", "action:": "action", "lesson:": "lesson", "revert:": "decision"}
+#: A word: letters, digits and underscores.
+TOKEN = r"[\p{L}\p{N}_]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,7 +33,7 @@ def ascii_lower(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters, digits and underscores, lower-cased in ASCII; none of a null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(ascii_lower(c), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def query_terms(c: Column) -> Column:
@@ -82,8 +84,8 @@ def snippet(content: Column, terms: Column, chars: int) -> Column:
     """A window of `chars` characters with the first hit of any term in the middle."""
     if chars == 0:
         return F.lit("")
-    low = ascii_lower(content)
-    first = F.coalesce(F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0)), F.lit(1))
+    hits = lambda low: F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0))
+    first = F.coalesce(F.transform(F.array(ascii_lower(content)), hits)[0], F.lit(1))  # the text is lower-cased once
     return F.substring(content, F.greatest(first - 1 - chars // 2, F.lit(0)) + 1, F.lit(chars))
 
 

@@ -1,7 +1,9 @@
-"""Lexical retrieval: BM25 over exploded tokens, many queries in one plan.
+"""Lexical retrieval: BM25 and tiered matching, many queries in one pass over a corpus.
 
 Scores follow the published Okapi form with K1 = 1.2 and B = 0.75, negated (lower is
-better).  Only terms that some query asks for leave the scan of a corpus.
+better).  Texts are cut into words in the JVM; words meet the terms of a slice of
+queries by Arrow's hash lookup, and scores are sparse sums.  Each task keeps the best
+rows of each query, so what is shuffled grows with the queries, not with the pairs.
 """
 
 from __future__ import annotations
@@ -9,16 +11,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .ranking import pool_size, relative, top_k
 
 K1, B = 1.2, 0.75
-#: Queries of one slice.
-QUERIES = 256
+#: Queries of one slice, and documents of one block.
+QUERIES, BLOCK = 256, 2048
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -26,71 +29,153 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
-    """query_id, id, bm25 of the documents that hold any term of the query; with `best` only rows
-    that can be among the first `best` of their query (each task keeps its own).
-
-    A term's weight in a document does not depend on the query, so the scores of a batch
-    of documents are a matrix product of their weights with the queries' terms.  That
-    keeps pairs of document, query and term out of every shuffle.  Queries go to the
-    tasks in slices of QUERIES, so what a task holds is bounded.
+def _spread(at: np.ndarray, which: np.ndarray, *columns: np.ndarray):
+    """(entries at[w] to at[w + 1] for each w of which, columns repeated as often)."""
+    n = at[which + 1] - at[which]
+    return np.arange(n.sum()) + np.repeat(at[which] - np.cumsum(n) + n, n), [np.repeat(c, n) for c in columns]
+
+
+class Slice:
+    """The terms of some queries, which queries ask for each, and the words that match them."""
+
+    def __init__(self, rows, tiers: bool):
+        self.ids = sorted({r.query_id for r in rows})
+        self.terms = sorted({r.term for r in rows})
+        place, column = {t: k for k, t in enumerate(self.terms)}, {q: k for k, q in enumerate(self.ids)}
+        asks = sorted({(place[r.term], column[r.query_id]) for r in rows})
+        self.asks = np.array([q for _, q in asks], dtype=np.int64)
+        self.asks_at = np.searchsorted(np.array([t for t, _ in asks], dtype=np.int64), np.arange(len(self.terms) + 1))
+        self.n_terms = np.bincount(self.asks, minlength=len(self.ids))
+        self.known = pa.array(self.terms, pa.string())
+        self.tiers = tiers
+        if tiers:
+            self.words: dict[str, list[int]] = {}
+            for r in rows:
+                for w in r.words:
+                    if place[r.term] not in self.words.setdefault(w, []):
+                        self.words[w].append(place[r.term])
+            self.heads = {t: k for t, k in place.items() if len(t) >= 4 and t.isascii() and t.isalnum()}
+            self.longest = max(map(len, self.heads), default=0)
+
+    def matches(self, word: str) -> tuple[list[int], list[int]]:
+        """Terms that a word matches by an inflection, and terms it begins with."""
+        heads = (self.heads.get(word[:n]) for n in range(4, min(len(word), self.longest) + 1))
+        return self.words.get(word, []), [k for k in heads if k is not None]
+
+    def blocks(self, batches):
+        """(ids, lengths, words, document of each word) of blocks of documents."""
+        for b in batches:
+            for c in range(0, b.num_rows, BLOCK):
+                some = b.slice(c, BLOCK)
+                lists = some.column(1)
+                n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+                yield some.column(0), n, pc.ascii_lower(lists.flatten()), np.repeat(np.arange(len(n)), n)
+
+    def entries(self, words, of):
+        """(document, term, times) of a block's words that are terms."""
+        term = pc.index_in(words, self.known)
+        hit = np.flatnonzero(np.asarray(term.is_valid()))
+        pair, n = np.unique(of[hit] * len(self.terms) + np.asarray(term.take(pa.array(hit))).astype(np.int64), return_counts=True)
+        return pair // len(self.terms), pair % len(self.terms), n
+
+    def count(self, batches):
+        """Documents, words and documents with each term: rows (term, n), -1 and -2 for the first two."""
+        df, docs, length = np.zeros(len(self.terms), dtype=np.int64), 0, 0
+        for _, n, words, of in self.blocks(batches):
+            docs, length = docs + len(n), length + int(n.sum())
+            if len(self.terms):
+                df += np.bincount(self.entries(words, of)[1], minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-1, -2], some)), pa.array(np.append([docs, length], df[some]))], names=["term", "n"])
+
+    def weigh(self, counts: dict[int, int]) -> None:
+        self.n, self.mean = counts.get(-1, 0), counts.get(-2, 0) / max(1, counts.get(-1, 0))
+        self.idf = np.array([math.log(1 + (self.n - counts.get(k, 0) + 0.5) / (counts.get(k, 0) + 0.5)) for k in range(len(self.terms))])
+
+    def _per_query(self, doc, term, docs: int, weights=None):
+        """Sum over a query's terms of the entries of each document: documents by queries."""
+        e, (doc, *w) = _spread(self.asks_at, term, doc, *([] if weights is None else [weights]))
+        return np.bincount(doc * len(self.ids) + self.asks[e], weights=w[0] if w else None, minlength=docs * len(self.ids)).reshape(docs, -1)
+
+    def _tiers(self, words, of, docs: int):
+        """0 where all terms match by inflections, 1 where they do by inflections or as beginnings, else 2."""
+        coded = words.dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        found = [self.matches(w) for w in coded.dictionary.to_pylist()]
+        seen = np.unique(of * max(1, len(found)) + np.asarray(coded.indices).astype(np.int64))
+        doc, word = seen // max(1, len(found)), seen % max(1, len(found))
+        tier = np.full((docs, len(self.ids)), 2, dtype=np.int64)
+        pairs = np.zeros(0, dtype=np.int64)
+        for k in (0, 1):
+            at = np.cumsum([0, *(len(f[k]) for f in found)])
+            flat = np.array([t for f in found for t in f[k]], dtype=np.int64)
+            e, (d,) = _spread(at, word, doc)
+            pairs = np.unique(np.append(pairs, d * len(self.terms) + flat[e]))
+            all_ = self._per_query(pairs // len(self.terms), pairs % len(self.terms), docs) == self.n_terms
+            tier[all_ & (tier == 2)] = k
+        return tier
+
+    def score(self, batches, best: int):
+        """(query_id, id, bm25, tier) of the rows that can be among the best of their query and tier."""
+        held = None
+        for own, n, words, of in self.blocks(batches):
+            if not self.ids or not len(n):
+                continue
+            doc, term, times = self.entries(words, of)
+            weight = self.idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * n[doc] / max(self.mean, 1e-9)))
+            total = np.round(-self._per_query(doc, term, len(n), weight), 9)
+            any_ = self._per_query(doc, term, len(n)) > 0
+            tier = self._tiers(words, of, len(n)) if self.tiers else np.full(total.shape, 2)
+            d, q = np.nonzero(any_ | (tier < 2))
+            group, value = q * 3 + tier[d, q], total[d, q]
+            ids = own.take(pa.array(d))
+            if held is not None:
+                group, value, ids = np.append(held[0], group), np.append(held[1], value), pa.concat_arrays([held[2], ids])
+            order = np.lexsort((value, group))
+            group, value = group[order], value[order]
+            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, dtype=np.int64)
+            size = np.diff(np.append(begin, len(group)))
+            last = np.repeat(value[begin + np.minimum(size, best) - 1], size) if len(begin) else value
+            keep = value <= last  # ties with the last one are kept: ids decide later
+            held = group[keep], value[keep], ids.take(pa.array(order[keep]))
+        if held is not None and len(held[0]):
+            names = pa.array(self.ids)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(held[0] // 3)), held[2], pa.array(held[1]), pa.array(held[0] % 3)], names=["query_id", "id", "bm25", "tier"])
+
+
+def scored(docs: DataFrame, queries: DataFrame, best: int, tiers: bool = False) -> DataFrame:
+    """query_id, id, bm25, tier of each task's best rows of each query (and tier).
+
+    docs: id, text; queries: query_id, text.  Queries go to the tasks in slices of
+    QUERIES, so what a task holds is bounded.
     """
     spark = docs.sparkSession
-    terms = asked(queries)
-    words = docs.select("id", T.tokens(F.col("text")).alias("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
-    per = words.select(F.explode(F.array_distinct("w")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    known = terms.join(per, "term")
-    kinds, n_queries = dict(docs.dtypes)["id"], terms.select("query_id").distinct().count()
-    query_kind = dict(queries.dtypes)["query_id"]
-    parts, out = n_queries // QUERIES + 1, None
+    terms = asked(queries).withColumn("words", T.stems(F.col("term")))
+    words = docs.select("id", F.coalesce(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), F.array().cast("array<string>")).alias("w"))
+    parts, out = queries.count() // QUERIES + 1, None
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(docs.dtypes)['id']}, bm25 double, tier long"
     for part in range(parts):
-        rows = known.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
-        names = sorted({r.term for r in rows})
-        ids = sorted({r.query_id for r in rows})
-        place, column = {t: k for k, t in enumerate(names)}, {q: k for k, q in enumerate(ids)}
-        asks, idf = np.zeros((len(names), len(ids))), np.zeros(len(names))
-        for r in rows:
-            asks[place[r.term], column[r.query_id]] = 1
-            idf[place[r.term]] = math.log(1 + (stats.n - r.df + 0.5) / (r.df + 0.5))
-        sent = spark.sparkContext.broadcast((place, np.array(ids), asks, idf, stats.avgdl))
-
-        def score(batches, sent=sent):
-            place, ids, asks, idf, avgdl = sent.value
-            held = None
-            for pdf in batches:
-                for c in range(0, len(pdf) if len(ids) else 0, 512):
-                    some = pdf.iloc[c : c + 512]
-                    tf = np.zeros((len(some), len(idf)))
-                    dl = np.zeros(len(some))
-                    for k, w in enumerate(some["w"]):
-                        dl[k] = len(w)
-                        at = [place[x] for x in w if x in place]
-                        if at:
-                            tf[k] = np.bincount(at, minlength=len(idf))
-                    weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[:, None] / avgdl))
-                    total = np.round(-(weight @ asks), 9)
-                    d, q = np.nonzero((tf > 0).astype(np.float64) @ asks)
-                    made = pd.DataFrame({"query_id": ids[q], "id": some["id"].to_numpy()[d], "bm25": total[d, q]})
-                    if best is None:
-                        yield made
-                        continue
-                    made = made if held is None else pd.concat([held, made])
-                    held = made.sort_values(["query_id", "bm25", "id"]).groupby("query_id", sort=False).head(best)
-            if held is not None:
-                yield held
-
-        made = words.mapInPandas(score, f"query_id {query_kind}, id {kinds}, bm25 double")
+        one = Slice(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect(), tiers)
+        counts = words.mapInArrow(one.count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        one.weigh({r.term: r.n for r in counts})
+        sent = spark.sparkContext.broadcast(one)
+        made = words.mapInArrow(lambda batches, sent=sent: sent.value.score(batches, best), schema)
         out = made if out is None else out.unionByName(made)
     return out
 
 
+def bm25(docs: DataFrame, queries: DataFrame, best: int) -> DataFrame:
+    """query_id, id, bm25 of documents that hold any term of the query; all that can be among the first
+    `best` of their query (each task keeps its own)."""
+    return scored(docs, queries, best).drop("tier")
+
+
 def search(docs: DataFrame, queries: DataFrame, limit: int = 10, snippet_chars: int = 160) -> DataFrame:
     """The best documents of each query with rank, relative score and snippet."""
     best = top_k(bm25(docs, queries, limit), "query_id", [F.asc("bm25"), F.asc("id")], limit)
+    best = best.withColumn("best", F.min("bm25").over(Window.partitionBy("query_id")))
     rows = best.join(docs.select("id", F.col("text").alias("content")), "id").join(queries.select("query_id", T.query_terms(F.col("text")).alias("terms")), "query_id")
-    top = best.groupBy("query_id").agg(F.min("bm25").alias("best"))
-    rows = rows.join(top, "query_id")
     return rows.select("query_id", "id", "rank", F.round("bm25", 6).alias("bm25"), F.round(relative(F.col("bm25"), F.col("best")), 6).alias("score"), T.snippet(F.col("content"), F.col("terms"), snippet_chars).alias("snippet"))
 
 
@@ -100,26 +185,9 @@ def tiered(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
 
     A document keeps its first tier; tier beats score.
     """
-    terms = asked(queries)
-    n_terms = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    variants = terms.select("query_id", "term", F.explode(T.stems(F.col("term"))).alias("word"))
-    words = docs.select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
-    whole = F.col("term").rlike("^[a-z0-9]{4,}$")
-    strict = words.join(variants, "word").select("query_id", "id", "term", F.lit(0).alias("tier"))
-    # A prefix of 4 characters is the join key of the prefix match; no range join.
-    heads = terms.filter(whole).withColumn("head", F.substring("term", 1, 4))
-    vocabulary = words.select("word").distinct().withColumn("head", F.substring("word", 1, 4))
-    reached = vocabulary.join(heads, "head").filter(F.col("word").startswith(F.col("term"))).select("query_id", "term", "word")
-    prefix = words.join(reached, "word").select("query_id", "id", "term", F.lit(1).alias("tier"))
-    both = strict.unionByName(prefix).groupBy("query_id", "id", "term").agg(F.min("tier").alias("tier"))
-    matched = both.groupBy("query_id", "id").agg(F.count_if(F.col("tier") == 0).alias("n0"), F.count("*").alias("n1")).join(n_terms, "query_id")
-    tier = F.when(F.col("n0") == F.col("n_terms"), 0).when(F.col("n1") == F.col("n_terms"), 1)
-    ranked = matched.select("query_id", "id", tier.alias("tier")).filter("tier is not null")
-    scores = bm25(docs, queries)
-    any_term = scores.select("query_id", "id", F.lit(2).alias("tier"))
-    first = ranked.unionByName(any_term).groupBy("query_id", "id").agg(F.min("tier").alias("tier")).join(scores, ["query_id", "id"], "left")
-    per = first.groupBy("query_id").agg(F.count_if(F.col("tier") == 0).alias("t0"), F.count_if(F.col("tier") == 1).alias("t1"))
-    first = first.join(per, "query_id")
+    first = scored(docs, queries, pool_size(limit), tiers=True)
+    per = Window.partitionBy("query_id")
+    t0, t1 = (F.count_if(F.col("tier") == k).over(per) for k in (0, 1))
+    first = first.withColumn("t0", t0).withColumn("t1", t1)
     keep = (F.col("tier") == 0) | ((F.col("tier") == 1) & (F.col("t0") < limit)) | ((F.col("tier") == 2) & (F.col("t0") + F.col("t1") == 0))
-    rows = first.filter(keep).select("query_id", "id", F.col("tier").cast("long").alias("tier"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-    return top_k(rows, "query_id", [F.asc("tier"), F.asc("bm25"), F.asc("id")], pool_size(limit))
+    return top_k(first.filter(keep).select("query_id", "id", "tier", "bm25"), "query_id", [F.asc("tier"), F.asc("bm25"), F.asc("id")], pool_size(limit))

@@ -63,7 +63,7 @@ def document_search_lexical(spark, sf):
 
 @query("lexical_page_two", BM25 + ", w AS (SELECT *, max(rank) OVER (PARTITION BY query_id) > 20 AS more, count(*) OVER (PARTITION BY query_id) AS seen FROM r WHERE rank > 10 AND rank <= 21) SELECT query_id, id, rank, more AS truncated, 10 + least(seen, 10) + CAST(more AS BIGINT) AS total_estimate FROM w WHERE rank <= 20")
 def lexical_page_two(spark, sf):
-    rows = ranking.page(fulltext.bm25(corpus(spark, sf), items(spark, sf)), "query_id", [F.asc("bm25"), F.asc("id")], 10, 10)
+    rows = ranking.page(fulltext.bm25(corpus(spark, sf), items(spark, sf), 21), "query_id", [F.asc("bm25"), F.asc("id")], 10, 10)
     return rows.select("query_id", "id", "rank", "truncated", "total_estimate")
 
 
