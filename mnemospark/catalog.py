@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import reports, search
+from .plans import frames, reports, search
 
-QUERIES: dict = {**search.QUERIES, **reports.QUERIES}
+QUERIES: dict = {**search.QUERIES, **frames.QUERIES}
 ORACLES: dict[str, str] = {**search.ORACLES, **reports.ORACLES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -34,6 +34,17 @@ def lexical_pairs(docs: DataFrame, rare: int = 25) -> DataFrame:
     return rows.select("id", "other", F.round("similarity", 6).alias("similarity"))
 
 
+def first_others(rows: DataFrame, keys: list[str], id_col: str, most: int) -> DataFrame:
+    """rows with each of the first `most` other ids of their group (other, k): the group's first
+    most + 1 ids are ranked once and joined to its rows, so a group makes no pairs beyond that."""
+    w = Window.partitionBy(*keys).orderBy("other")
+    head = rows.select(*keys, F.col(id_col).alias("other")).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most + 1)
+    heads = head.groupBy(*keys).agg(F.array_sort(F.collect_list("other")).alias("_heads"))
+    others = F.slice(F.filter("_heads", lambda o: o != F.col(id_col)), 1, most)
+    out = rows.join(heads, keys).select(*[rows[c] for c in rows.columns], others.alias("_others"))
+    return out.select("*", F.posexplode("_others").alias("_k", "other")).withColumn("k", (F.col("_k") + 1).cast("long")).drop("_others", "_k")
+
+
 def report(parts: list[DataFrame], most: int = MOST) -> DataFrame:
     """Of candidates (id, other, priority, score, matched_on) the best relationship of each pair
     (lower priority, then higher score), reasons united; the first `most` of each id."""

@@ -35,6 +35,18 @@ def resolve(rows: DataFrame, mode: str) -> DataFrame:
     return out if mode == "supersede" else out.withColumn("status", F.lit("active"))
 
 
+def decided(submitted: DataFrame, decisions: DataFrame) -> DataFrame:
+    """candidate_id, status, decided_at of each submission: only a pending one may be decided, so its
+    first decision (by at, then seq) after submission counts and later ones change nothing.
+
+    submitted: candidate_id, submitted_at; decisions: candidate_id, at, seq, decision (null: none).
+    """
+    later = submitted.join(decisions.filter("decision is not null"), "candidate_id").filter("at >= submitted_at")
+    first = later.groupBy("candidate_id").agg(F.min(F.struct("at", "seq", "decision")).alias("f"))
+    out = submitted.join(first, "candidate_id", "left")
+    return out.select("candidate_id", F.coalesce("f.decision", F.lit("pending")).alias("status"), F.col("f.at").alias("decided_at"))
+
+
 def visible(as_of: Column, valid_to: str = "valid_to", expires_at: str = "expires_at") -> Column:
     """valid_to itself is still valid, expires_at itself is not."""
     return (F.col(valid_to).isNull() | (F.col(valid_to) >= as_of)) & (F.col(expires_at).isNull() | (F.col(expires_at) > as_of))
