@@ -19,6 +19,9 @@ SLUG_STOPWORDS = (
     "a an and are as at be but by for from had has have he her his in into is it its of on or our that the their them then there these "
     "they this to was we were what when which who will with you"
 ).split()
+# Stop words of keyword queries, and marks stripped from their words.
+QUESTION_STOPWORDS = "a an and are before can did does for from had has have her him his how into is it its of on or the their to was were what when where which who why with would".split()
+MARKS = r".,?!:;()\[\]{}\"'`\\/"
 # Content prefix and the kind it implies.
 KIND_PREFIXES = {"remember:": "fact", "fact:": "fact", "decision:": "decision", "preference:": "preference", "action:": "action", "lesson:": "lesson", "revert:": "decision"}
 #: A word: letters, digits and underscores.
@@ -90,10 +93,13 @@ def snippet(content: Column, terms: Column, chars: int) -> Column:
 
 
 def entity_slug(c: Column) -> Column:
-    """Hyphen-joined first six significant tokens, at most 80 characters; null if there are none."""
+    """Hyphen-joined first six significant tokens, at most 80 bytes of them; null if there are none."""
     body = F.regexp_replace(F.lower(F.trim(c)), r"^[a-z]+:", "")
     words = F.filter(F.split(body, r"[^\p{L}\p{N}]+"), lambda w: (F.octet_length(w) >= 2) & ~w.isin(SLUG_STOPWORDS))
-    slug = F.regexp_replace(F.substring(F.array_join(F.slice(words, 1, 6), "-"), 1, 80), "-+$", "")
+    whole = F.array_join(F.slice(words, 1, 6), "-")
+    # The characters whose last byte is within the bound.
+    bytes_ = F.aggregate(F.split(F.substring(whole, 1, 80), ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("n")), lambda a, c: F.struct(F.when(a["n"] + F.octet_length(c) <= 80, F.concat(a["s"], c)).otherwise(a["s"]).alias("s"), (a["n"] + F.octet_length(c)).alias("n")))
+    slug = F.regexp_replace(bytes_["s"], "-+$", "")
     return F.when(slug != "", slug)
 
 
@@ -105,6 +111,29 @@ def kind_from_prefix(c: Column) -> Column:
     return out
 
 
+def keyword_query(text: Column, limit: int = 10) -> Column:
+    """The first `limit` words of three and more characters that are no stop words, stripped of marks."""
+    words = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: F.lower(F.regexp_replace(w, f"^[{MARKS}]+|[{MARKS}]+$", "")))
+    return F.array_join(F.slice(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(QUESTION_STOPWORDS)), 1, limit), " ")
+
+
+def query_bundle(text: Column, category: Column) -> Column:
+    """The queries of a question: itself, its keywords, and what its category adds; each once, at most four."""
+    k = keyword_query(text)
+    more = lambda name, words: F.when(category == name, F.concat(k, F.lit(f" {words}")))
+    every = F.array_compact(F.array(text, k, more("temporal", "date time when conversation"), more("adversarial", "no information available")))
+    return F.slice(F.array_distinct(F.filter(F.transform(every, F.trim), lambda q: q != "")), 1, 4)
+
+
+def to_hex(data: Column) -> Column:
+    return F.lower(F.hex(data))
+
+
+def from_hex(text: Column) -> Column:
+    """The bytes of hex digits of either case; null of anything else."""
+    return F.when(text.rlike("^(?:[0-9A-Fa-f]{2})*$"), F.unhex(text))
+
+
 def canonical_name(key: Column) -> Column:
     """What follows the last of : / # in a key, readable."""
     name = collapse(F.translate(F.element_at(F.split(key, "[:/#]"), -1), "_-.", "   "))

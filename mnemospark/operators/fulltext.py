@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from .ranking import pool_size, relative, top_k
@@ -38,7 +39,7 @@ def _spread(at: np.ndarray, which: np.ndarray, *columns: np.ndarray):
 class Slice:
     """The terms of some queries, which queries ask for each, and the words that match them."""
 
-    def __init__(self, rows, tiers: bool):
+    def __init__(self, rows, tiers: bool, groups: dict | None = None):
         self.ids = sorted({r.query_id for r in rows})
         self.terms = sorted({r.term for r in rows})
         place, column = {t: k for k, t in enumerate(self.terms)}, {q: k for k, q in enumerate(self.ids)}
@@ -47,6 +48,8 @@ class Slice:
         self.asks_at = np.searchsorted(np.array([t for t, _ in asks], dtype=np.int64), np.arange(len(self.terms) + 1))
         self.n_terms = np.bincount(self.asks, minlength=len(self.ids))
         self.known = pa.array(self.terms, pa.string())
+        self.groups = None if groups is None else sorted({groups[q] for q in self.ids if groups[q] is not None})
+        self.group = None if groups is None else np.array([self.groups.index(groups[q]) if groups[q] is not None else -2 for q in self.ids], dtype=np.int64)
         self.tiers = tiers
         if tiers:
             self.words: dict[str, list[int]] = {}
@@ -63,13 +66,13 @@ class Slice:
         return self.words.get(word, []), [k for k in heads if k is not None]
 
     def blocks(self, batches):
-        """(ids, lengths, words, document of each word) of blocks of documents."""
+        """(block, lengths, words, document of each word) of blocks of documents."""
         for b in batches:
             for c in range(0, b.num_rows, BLOCK):
                 some = b.slice(c, BLOCK)
                 lists = some.column(1)
                 n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-                yield some.column(0), n, pc.ascii_lower(lists.flatten()), np.repeat(np.arange(len(n)), n)
+                yield some, n, pc.ascii_lower(lists.flatten()), np.repeat(np.arange(len(n)), n)
 
     def entries(self, words, of):
         """(document, term, times) of a block's words that are terms."""
@@ -119,7 +122,7 @@ class Slice:
     def score(self, batches, best: int):
         """(query_id, id, bm25, tier) of the rows that can be among the best of their query and tier."""
         held = None
-        for own, n, words, of in self.blocks(batches):
+        for block, n, words, of in self.blocks(batches):
             if not self.ids or not len(n):
                 continue
             doc, term, times = self.entries(words, of)
@@ -127,9 +130,13 @@ class Slice:
             total = np.round(-self._per_query(doc, term, len(n), weight), 9)
             any_ = self._per_query(doc, term, len(n)) > 0
             tier = self._tiers(words, of, len(n)) if self.tiers else np.full(total.shape, 2)
-            d, q = np.nonzero(any_ | (tier < 2))
+            hit = any_ | (tier < 2)
+            if self.groups is not None:  # only documents of the query's group
+                own = pc.fill_null(pc.index_in(block.column(2), pa.array(self.groups, block.column(2).type)), -1)
+                hit &= np.asarray(own)[:, None] == self.group[None, :]
+            d, q = np.nonzero(hit)
             group, value = q * 3 + tier[d, q], total[d, q]
-            ids = own.take(pa.array(d))
+            ids = block.column(0).take(pa.array(d))
             if held is not None:
                 group, value, ids = np.append(held[0], group), np.append(held[1], value), pa.concat_arrays([held[2], ids])
             order = np.lexsort((value, group))
@@ -140,25 +147,29 @@ class Slice:
             keep = value <= last  # ties with the last one are kept: ids decide later
             held = group[keep], value[keep], ids.take(pa.array(order[keep]))
         if held is not None and len(held[0]):
-            names = pa.array(self.ids)
+            names = pa.array(self.ids, self.kind)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(held[0] // 3)), held[2], pa.array(held[1]), pa.array(held[0] % 3)], names=["query_id", "id", "bm25", "tier"])
 
 
-def scored(docs: DataFrame, queries: DataFrame, best: int, tiers: bool = False) -> DataFrame:
+def scored(docs: DataFrame, queries: DataFrame, best: int, tiers: bool = False, group: str | None = None) -> DataFrame:
     """query_id, id, bm25, tier of each task's best rows of each query (and tier).
 
-    docs: id, text; queries: query_id, text.  Queries go to the tasks in slices of
-    QUERIES, so what a task holds is bounded.
+    docs: id, text; queries: query_id, text.  With `group`, a column of both, a query only
+    finds documents of its own group; the statistics are those of all documents.  Queries go
+    to the tasks in slices of QUERIES, so what a task holds is bounded.
     """
     spark = docs.sparkSession
     terms = asked(queries).withColumn("words", T.stems(F.col("term")))
-    words = docs.select("id", F.coalesce(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), F.array().cast("array<string>")).alias("w"))
+    words = docs.select("id", F.coalesce(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), F.array().cast("array<string>")).alias("w"), *([group] if group else []))
     parts, out = queries.count() // QUERIES + 1, None
     schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(docs.dtypes)['id']}, bm25 double, tier long"
     for part in range(parts):
-        one = Slice(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect(), tiers)
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part
+        groups = {r.query_id: r[group] for r in queries.filter(mine).select("query_id", group).collect()} if group else None
+        one = Slice(terms.filter(mine).collect(), tiers, groups)
         counts = words.mapInArrow(one.count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
         one.weigh({r.term: r.n for r in counts})
+        one.kind = to_arrow_type(queries.schema["query_id"].dataType)
         sent = spark.sparkContext.broadcast(one)
         made = words.mapInArrow(lambda batches, sent=sent: sent.value.score(batches, best), schema)
         out = made if out is None else out.unionByName(made)

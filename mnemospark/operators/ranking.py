@@ -49,6 +49,30 @@ def source_tier(source_type: Column, tags: Column) -> Column:
     return F.when(F.array_contains(tags, "synthesis-derived"), 0.0).when(source_type == "synthesis", 0.0).when(source_type.isin("manual", "mcp"), 0.04).otherwise(0.02)
 
 
+def linear_recency(anchor: Column, silo: Column, as_of: Column) -> Column:
+    """max * (1 - age / (2 * half-life)), 0 from there on; null counts nothing."""
+    age = F.greatest((F.unix_micros(as_of) - F.unix_micros(anchor)) / F.lit(86_400_000_000.0), F.lit(0.0))
+    fall = lambda m, h: m * F.greatest(F.lit(0.0), 1 - age / (2 * h))
+    return F.coalesce(F.when(silo == "durable", fall(*DURABLE)).otherwise(fall(*VOLATILE)), F.lit(0.0))
+
+
+def hits(kinds=(), entity_keys=(), claim_keys=(), tags=()) -> list[Column]:
+    """Whether a record has what a request filters by: kind, entity, claim, tag; for metadata()."""
+    among = lambda c, given: F.col(c).isin(list(given)) if given else F.lit(False)
+    return [among("kind", kinds), among("entity_key", entity_keys), among("claim_key", claim_keys), F.arrays_overlap("tags", F.array(*map(F.lit, tags))) if tags else F.lit(False)]
+
+
+def standing(scopes=()) -> Column:
+    """Scope asked for .03, active .02, pinned .05."""
+    scope = F.when(F.col("scope").isin(list(scopes)), 0.03).otherwise(0.0) if scopes else F.lit(0.0)
+    return scope + F.when(F.col("status") == "active", 0.02).otherwise(0.0) + F.when(F.col("pinned"), 0.05).otherwise(0.0)
+
+
+def tiebreak(confidence: Column, found: list[Column], anchor: Column, silo: Column, as_of: Column, scopes=()) -> Column:
+    """What orders rows of equal relevance into a pool: metadata without aliases, linear recency, standing."""
+    return metadata(confidence, *found, F.lit(False)) + linear_recency(anchor, silo, as_of) + standing(scopes)
+
+
 def rrf(arms: dict[str, DataFrame], limit: int) -> DataFrame:
     """Reciprocal rank fusion of ranked arms (query_id, id, rank): score, match_type, rank."""
     rows = None

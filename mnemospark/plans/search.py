@@ -142,22 +142,34 @@ def vector_knn_post_filter(spark, sf):
     return ranking.top_k(near.withColumnRenamed("rank", "at"), "query_id", [F.asc("at")], 40).select("query_id", "id", "label", "rank")
 
 
-MAXSIM = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.label AS query_id, d.label AS id, q.vec_id, max(list_inner_product(q.e, d.e)) AS m FROM e q, e d WHERE q.vec_id % 20 = 0 GROUP BY q.label, d.label, q.vec_id) SELECT query_id, id, round(sum(m), 6) AS score FROM s GROUP BY query_id, id"
+MAXSIM = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.label AS query_id, d.label AS id, q.vec_id, max(list_inner_product(q.e, d.e)) AS m FROM e q, e d WHERE q.vec_id % 20 = 0 GROUP BY q.label, d.label, q.vec_id), t AS (SELECT query_id, id, round(sum(m), 6) AS score FROM s GROUP BY query_id, id), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t) "
 
 
-@query("maxsim", MAXSIM)
-def maxsim(spark, sf):
+def token_matrices(spark, sf):
     """Token matrices: the embeddings of a label; query matrices: its rows with id divisible by 20."""
-    # A label's matrix is a token matrix here; the operator takes them as they are.
     matrix = lambda df, key: df.groupBy(F.col("label").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "embedding"))), lambda x: x["embedding"]).alias("tokens"))
-    return vectors.maxsim(matrix(vecs(spark, sf).filter("id % 20 = 0"), "query_id"), matrix(vecs(spark, sf), "id"))
+    return matrix(vecs(spark, sf).filter("id % 20 = 0"), "query_id"), matrix(vecs(spark, sf), "id")
+
+
+@query("maxsim", MAXSIM + "SELECT query_id, id, score, rank FROM x WHERE rank <= 6")
+def maxsim(spark, sf):
+    return vectors.maxsim(*token_matrices(spark, sf), 6)
+
+
+@query("late_interaction_order", MAXSIM + ", o AS (SELECT x.query_id, x.id, round(coalesce(list_distance(q.e, v.e), 2.0), 9) AS distance FROM x JOIN e q ON q.vec_id = x.query_id + 20 LEFT JOIN e v ON v.vec_id = x.id AND v.vec_id NOT IN (3, 6) WHERE rank <= 6) SELECT query_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM o")
+def late_interaction_order(spark, sf):
+    """Labels picked by MaxSim, in the order of single vectors; labels 3 and 6 have none."""
+    asked, docs = token_matrices(spark, sf)
+    v = vecs(spark, sf).select("id", "embedding")
+    asked = asked.join(v.select((F.col("id") - 20).alias("query_id"), "embedding"), "query_id")
+    return vectors.late_interaction(asked, docs, v.filter(~F.col("id").isin(3, 6)), 6).withColumn("distance", F.round("distance", 6))
 
 
 @query("mean_pool_normalise", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM e), m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i) SELECT label, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m")
 def mean_pool_normalise(spark, sf):
-    m = vecs(spark, sf).select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    v = m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return v.select("label", F.posexplode(vectors.normalised(F.col("v"))).alias("i", "x")).select("label", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+    tokens = vecs(spark, sf).groupBy("label").agg(F.collect_list("embedding").alias("t"))
+    v = tokens.select("label", vectors.normalised(vectors.mean_pooled(F.col("t"), F.transform("t", lambda _: F.lit(1)))).alias("v"))
+    return v.select("label", F.posexplode("v").alias("i", "x")).select("label", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query("embedding_consistency", "SELECT label, count(*) AS n, count(DISTINCT len(embedding)) = 1 AS one_size, CAST(min(len(embedding)) AS BIGINT) AS dims FROM embeddings GROUP BY label")
@@ -198,6 +210,56 @@ def score_breakdown(spark, sf):
     return out.select("query_id", "memory_id", *[F.round(c, 6).alias(c) for c in ("fts", "metadata", "recency", "rest")], "score", "rank")
 
 
+FACTORS = f"""greatest(0, least(1, confidence)) * 0.05 + CASE WHEN kind = 'fact' THEN 0.05 ELSE 0 END + CASE WHEN entity_key = 'source:src1' THEN 0.1 ELSE 0 END + CASE WHEN claim_key IN ('claim:5', 'claim:7') THEN 0.1 ELSE 0 END
+ + CASE WHEN doc_id % 5 = 0 THEN 0.05 ELSE 0 END AS metadata, CASE WHEN scope = 'workspace' THEN 0.03 ELSE 0 END + CASE WHEN status = 'active' THEN 0.02 ELSE 0 END + CASE WHEN pinned THEN 0.05 ELSE 0 END AS standing,
+ greatest((epoch_us({AS_OF}) - epoch_us(greatest(updated_at, observed_at))) / 86400000000.0, 0) AS age"""
+
+
+def asked_for():
+    return ranking.hits(["fact"], ["source:src1"], ["claim:5", "claim:7"], ["Decision"])
+
+
+def tagged(spark, sf):
+    return view(spark, sf, "mem").withColumn("tags", F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("Decision"))).otherwise(F.array().cast("array<string>")))
+
+
+@query("semantic_score_breakdown", KNN + f""", m AS (SELECT *, {FACTORS} FROM mem), x AS (SELECT r.query_id, m.memory_id, m.observed_at, round(1 / (1 + greatest(distance, 0)), 6) AS semantic, round(m.metadata, 6) AS metadata,
+ round(CASE WHEN silo = 'durable' THEN 0.05 * pow(0.5, age / 180) ELSE 0.2 * pow(0.5, age / 30) END, 6) AS recency, CAST(round(standing + CASE source WHEN 'src2' THEN 0.04 WHEN 'src3' THEN 0 ELSE 0.02 END, 6) AS DOUBLE) AS rest,
+ round(1 / (1 + greatest(distance, 0)) + m.metadata + CASE WHEN silo = 'durable' THEN 0.05 * pow(0.5, age / 180) ELSE 0.2 * pow(0.5, age / 30) END + standing + CASE source WHEN 'src2' THEN 0.04 WHEN 'src3' THEN 0 ELSE 0.02 END, 6) AS score FROM r JOIN m ON m.doc_id = r.id WHERE r.rank <= 42 AND m.status = 'active')
+SELECT query_id, memory_id, semantic, metadata, recency, rest, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, observed_at DESC, memory_id) AS rank FROM x) WHERE rank <= 10""")
+def semantic_score_breakdown(spark, sf):
+    """The nearest 42, then final scores with all factors."""
+    rows = vectors.knn(vec_queries(spark, sf), vecs(spark, sf), 42).drop("rank").join(tagged(spark, sf).filter("status = 'active'"), F.col("id") == F.col("doc_id"))
+    kind = F.when(F.col("source") == "src2", "manual").when(F.col("source") == "src3", "synthesis").otherwise("")
+    parts = {
+        "semantic": vectors.semantic_score(F.col("distance")), "metadata": ranking.metadata(F.col("confidence"), *asked_for(), F.lit(False)),
+        "recency": ranking.recency(F.greatest("updated_at", "observed_at"), F.col("silo"), F.expr(AS_OF)), "rest": ranking.standing(["workspace"]) + ranking.source_tier(kind, F.col("tags")),
+    }
+    rows = rows.select("query_id", "memory_id", "observed_at", *[v.alias(k) for k, v in parts.items()]).withColumn("score", F.round(sum((F.col(k) for k in parts), F.lit(0.0)), 6))
+    out = ranking.top_k(rows, "query_id", [F.desc("score"), F.desc("observed_at"), F.asc("memory_id")], 10)
+    return out.select("query_id", "memory_id", *[F.round(k, 6).alias(k) for k in parts], "score", "rank")
+
+
+@query("pool_tiebreak", BM25 + f", m AS (SELECT *, {FACTORS} FROM mem), x AS (SELECT s.query_id, m.memory_id, m.observed_at, s.bm25, round(m.metadata + standing + CASE WHEN silo = 'durable' THEN 0.05 * greatest(0, 1 - age / 360) ELSE 0.2 * greatest(0, 1 - age / 60) END, 9) AS tiebreak FROM s JOIN m ON m.doc_id = s.id) SELECT query_id, memory_id, round(bm25, 6) AS bm25, round(tiebreak, 6) AS tiebreak, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, tiebreak DESC, observed_at DESC, memory_id) AS rank FROM x) WHERE rank <= 42")
+def pool_tiebreak(spark, sf):
+    """Who gets into the pool when relevance ties: the better known, the more recent."""
+    rows = fulltext.bm25(corpus(spark, sf), items(spark, sf), 42).join(tagged(spark, sf), F.col("id") == F.col("doc_id"))
+    by = ranking.tiebreak(F.col("confidence"), asked_for(), F.greatest("updated_at", "observed_at"), F.col("silo"), F.expr(AS_OF), ["workspace"])
+    out = ranking.top_k(rows.withColumn("tiebreak", F.round(by, 9)), "query_id", [F.asc("bm25"), F.desc("tiebreak"), F.desc("observed_at"), F.asc("memory_id")], 42)
+    return out.select("query_id", "memory_id", F.round("bm25", 6).alias("bm25"), F.round("tiebreak", 6).alias("tiebreak"), "rank")
+
+
+SOURCED = BM25.replace("coalesce(text, '')", "concat_ws(' ', text, source)").replace("(translate(text, 'ABC", "(translate(text || ' src1', 'ABC")
+
+
+@query("lexical_with_source", SOURCED + "SELECT query_id, id, rank, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10")
+def lexical_with_source(spark, sf):
+    """Relevance over texts with their sources: an index of its own, so sources never change plain relevance."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", "source").alias("text"))
+    asked = items(spark, sf).withColumn("text", F.concat("text", F.lit(" src1")))
+    return ranking.top_k(fulltext.bm25(docs, asked, 10), "query_id", [F.asc("bm25"), F.asc("id")], 10).select("query_id", "id", "rank", F.round("bm25", 6).alias("bm25"))
+
+
 ARMS = BM25 + ", v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT b.item_id AS query_id, v.id, row_number() OVER (PARTITION BY b.item_id ORDER BY round(list_distance(q.e, v.e), 9), v.id) AS rank FROM benchmark b JOIN v q ON q.id = b.item_id, v), l AS (SELECT query_id, id, rank FROM r WHERE rank <= 42), a AS (SELECT query_id, id, rank FROM n WHERE rank <= 42) "
 
 
@@ -271,9 +333,9 @@ def validity_filter(spark, sf):
     return view(spark, sf, "mem").filter(lifecycle.visible(F.expr(AS_OF))).select("memory_id")
 
 
-@query("entity_upsert_merge", "WITH o AS (SELECT c_nationkey AS k, min(c_name) AS name, min(c_mktsegment) AS seg FROM customer WHERE c_nationkey < 20 GROUP BY c_nationkey), n AS (SELECT s_nationkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS r FROM supplier) SELECT coalesce(o.k, n.k) AS k, coalesce(n.name, o.name) AS name, o.seg FROM o FULL OUTER JOIN (SELECT * FROM n WHERE r = 1) n ON n.k = o.k")
+@query("entity_upsert_merge", "WITH o AS (SELECT c_nationkey + 3 AS k, min(c_name) AS name, min(c_mktsegment) AS seg FROM customer GROUP BY c_nationkey), n AS (SELECT s_nationkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS r FROM supplier) SELECT coalesce(o.k, n.k) AS k, coalesce(n.name, o.name) AS name, o.seg FROM o FULL OUTER JOIN (SELECT * FROM n WHERE r = 1) n ON n.k = o.k")
 def entity_upsert_merge(spark, sf):
-    c = read(spark, sf, "customer").filter("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_name").alias("name"), F.min("c_mktsegment").alias("seg"))
+    c = read(spark, sf, "customer").groupBy((F.col("c_nationkey") + 3).alias("k")).agg(F.min("c_name").alias("name"), F.min("c_mktsegment").alias("seg"))
     s = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"), F.lit(None).cast("string").alias("seg"), F.col("s_suppkey").alias("seq"))
     return lifecycle.upsert(c, s, ["k"], ["name", "seg"])
 
@@ -318,38 +380,77 @@ def entity_merge_outcomes(spark, sf):
     return graph.merge(view(spark, sf, "edges"), "s1", "s0").select("edge_id", "subject", "object", "outcome")
 
 
-@query("orphan_attachment", "WITH o AS (SELECT p_partkey AS node, unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part WHERE p_size < 5), a AS (SELECT p_brand AS node, t FROM (SELECT DISTINCT p_brand, unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part WHERE p_size > 45)), s AS (SELECT o.node AS orphan, a.node AS anchor, count(*) AS overlap FROM o JOIN a USING (t) GROUP BY o.node, a.node) SELECT orphan, anchor, overlap, CAST(0.15 AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY overlap DESC, anchor) AS k FROM s) WHERE k = 1")
+@query("orphan_attachment", "WITH o AS (SELECT p_partkey AS node, unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part), a AS (SELECT DISTINCT p_brand AS node, unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part), s AS (SELECT o.node AS orphan, a.node AS anchor, count(*) AS overlap FROM o JOIN a USING (t) GROUP BY o.node, a.node) SELECT orphan, anchor, overlap, CAST(0.15 AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY overlap DESC, anchor) AS k FROM s) WHERE k = 1")
 def orphan_attachment(spark, sf):
     p = read(spark, sf, "part").withColumn("tokens", F.split(F.concat_ws(" ", "p_name", "p_type"), " "))
-    anchors = p.filter("p_size > 45").select(F.col("p_brand").alias("node"), F.explode("tokens").alias("t")).groupBy("node").agg(F.collect_set("t").alias("tokens"))
-    return graph.attach_orphans(p.filter("p_size < 5").select(F.col("p_partkey").alias("node"), "tokens"), anchors)
+    anchors = p.select(F.col("p_brand").alias("node"), F.explode("tokens").alias("t")).groupBy("node").agg(F.collect_set("t").alias("tokens"))
+    return graph.attach_orphans(p.select(F.col("p_partkey").alias("node"), "tokens"), anchors)
+
+
+CAPTURES = """WITH en AS (SELECT o_orderkey AS c, 'c' || o_custkey AS k, 'buyer ' || o_custkey AS name FROM orders UNION ALL SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN 's' || l_suppkey ELSE 'new:' || l_suppkey END, 'supplier ' || l_suppkey FROM lineitem),
+sf AS (SELECT 's' || s_suppkey AS key, 'supplier ' || s_suppkey AS surface FROM supplier UNION SELECT 'twin' || s_suppkey, 'supplier ' || s_suppkey FROM supplier WHERE s_suppkey % 40 = 0),
+g AS (SELECT c, k, any_value(name) AS name, count(*) AS times FROM en GROUP BY c, k), h AS (SELECT g.*, count(sf.key) AS n, min(sf.key) AS found, EXISTS (SELECT 1 FROM sf x WHERE x.key = g.k) AS exact FROM g LEFT JOIN sf ON sf.surface = g.name GROUP BY ALL),
+z AS (SELECT *, CASE WHEN exact THEN k ELSE coalesce(found, k) END AS resolved FROM h), rl AS (SELECT l_orderkey AS c, 'c' || o_custkey AS a, 'new:' || l_suppkey AS b, CASE WHEN l_tax = 0 THEN 'related_to' ELSE 'supplied_by' END AS t, l_discount * 11 AS conf FROM lineitem JOIN orders ON o_orderkey = l_orderkey) """
+
+
+def captures(spark, sf):
+    """Each order as a captured graph of its buyer and suppliers, resolved against the suppliers that are known."""
+    o, li, s = (read(spark, sf, t) for t in ("orders", "lineitem", "supplier"))
+    none, space = F.array().cast("array<string>"), F.lit("x").alias("space")
+    buyers = o.select(F.col("o_orderkey").alias("capture_id"), space, F.concat(F.lit("c"), "o_custkey").alias("entity_key"), F.concat(F.lit("buyer "), "o_custkey").alias("canonical_name"), none.alias("aliases"))
+    key = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("s"), "l_suppkey")).otherwise(F.concat(F.lit("new:"), "l_suppkey"))
+    sold = li.select(F.col("l_orderkey").alias("capture_id"), space, key.alias("entity_key"), F.concat(F.lit("Supplier  "), "l_suppkey").alias("canonical_name"), F.array(F.concat(F.lit(" supplier "), "l_suppkey")).alias("aliases"))
+    edges = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("capture_id"), F.concat(F.lit("c"), "o_custkey").alias("subject"), F.concat(F.lit("new:"), "l_suppkey").alias("object"), F.when(F.col("l_tax") == 0, "related_to").otherwise("supplied_by").alias("rel_type"), (F.col("l_discount") * 11).alias("confidence"))
+    surface = F.concat(F.lit("supplier "), "s_suppkey").alias("surface")
+    known = s.select(space, F.concat(F.lit("s"), "s_suppkey").alias("entity_key"), surface).union(s.filter("s_suppkey % 40 = 0").select(space, F.concat(F.lit("twin"), "s_suppkey"), surface))
+    return graph.capture(buyers.union(sold), edges, known)
+
+
+@query("graph_capture_keys", CAPTURES + "SELECT c AS capture_id, k AS entity_key, resolved AS resolved_key FROM z")
+def graph_capture_keys(spark, sf):
+    return captures(spark, sf)[0]
+
+
+@query("graph_capture_errors", CAPTURES + ", er AS (SELECT c, 'ambiguous' AS e FROM z WHERE NOT exact AND n > 1 UNION SELECT c, 'same_entity' FROM z GROUP BY c, resolved HAVING count(*) > 1 UNION SELECT c, 'repeated_key' FROM z WHERE times > 1 UNION SELECT c, 'untyped' FROM rl WHERE t = 'related_to' UNION SELECT c, 'undeclared' FROM rl WHERE (c, b) NOT IN (SELECT c, k FROM g) UNION SELECT c, 'confidence' FROM rl WHERE conf > 1 UNION SELECT c, 'repeated_edge' FROM rl GROUP BY c, a, t, b HAVING count(*) > 1) SELECT o.o_orderkey AS capture_id, string_agg(e, ',' ORDER BY e) AS errors FROM orders o LEFT JOIN er ON er.c = o.o_orderkey GROUP BY o.o_orderkey")
+def graph_capture_errors(spark, sf):
+    return captures(spark, sf)[1]
 
 
 # --- duplicates ------------------------------------------------------------------
-TERMS = f"WITH t0 AS (SELECT doc_id AS id, lang AS space, list_distinct({TOK.format('text')}) AS ts FROM documents), t1 AS (SELECT id, space, ts, list_filter(ts, lambda x: x NOT IN ({STOP})) AS k FROM t0), t AS (SELECT id, space, list_filter(CASE WHEN len(k) > 0 THEN k ELSE ts END, lambda x: length(x) >= 3) AS terms FROM t1), w AS (SELECT id, space, unnest(terms) AS x FROM t), f AS (SELECT space, x FROM w GROUP BY space, x HAVING count(*) BETWEEN 2 AND 25), k AS (SELECT w.* FROM w JOIN f USING (space, x)), p AS (SELECT DISTINCT a.id, b.id AS other FROM k a JOIN k b ON a.space = b.space AND a.x = b.x AND a.id < b.id) "
+TERMSET = f"list_sort(list_filter(CASE WHEN len(list_filter(ts, lambda x: x NOT IN ({STOP}))) > 0 THEN list_filter(ts, lambda x: x NOT IN ({STOP})) ELSE ts END, lambda x: length(x) >= 3))"
+#: The related texts of each text whose id is divisible by 20, from a table `base` (id, space, text).
+RELATED = f"""t AS (SELECT id, space, w, {TERMSET} AS terms FROM (SELECT *, list_distinct(w) AS ts FROM (SELECT id, space, {TOK.format("coalesce(text, '')")} AS w FROM base))),
+q AS (SELECT id AS query_id, space, terms, unnest(list_filter(terms, lambda x: length(x) >= 4)[1:12]) AS term FROM t WHERE asks(id) AND len(terms) >= 3), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+h AS (SELECT id, space, term, dl, count(*) AS tf FROM (SELECT id, space, len(w) AS dl, unnest(w) AS term FROM t) x WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+s AS (SELECT q.query_id, h.id, any_value(q.terms) AS terms, round(-sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS bm25 FROM h JOIN df USING (term) JOIN q ON q.term = h.term AND q.space = h.space, st GROUP BY q.query_id, h.id),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS rank FROM s QUALIFY rank <= 51), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM p WHERE id <> query_id),
+j AS (SELECT o.query_id AS id, o.id AS other, len(list_intersect(o.terms, t.terms)) AS i, len(o.terms) + len(t.terms) AS n FROM o JOIN t ON t.id = o.id WHERE k <= 50), related AS (SELECT id, other, round(i / (n - i), 6) AS similarity FROM j WHERE i / (n - i) >= 0.35)"""
 
 
-@query("lexical_duplicates", TERMS + ", s AS (SELECT p.id, p.other, len(list_intersect(a.terms, b.terms)) AS i, len(a.terms) + len(b.terms) AS n FROM p JOIN t a ON a.id = p.id JOIN t b ON b.id = p.other) SELECT id, other, round(i / (n - i), 6) AS similarity FROM s WHERE i / (n - i) >= 0.35")
+@query("lexical_duplicates", "WITH base AS (SELECT doc_id AS id, lang AS space, text FROM documents), " + RELATED.replace("asks(id)", "id % 20 = 0") + " SELECT id, other, similarity FROM related")
 def lexical_duplicates(spark, sf):
-    return duplicates.lexical_pairs(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("space"), "text"))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("space"), "text")
+    return duplicates.lexical_related(docs.filter("id % 20 = 0"), docs)
 
 
-@query("duplicate_report", "WITH m AS (SELECT * FROM mem WHERE status = 'active'), c AS (SELECT a.memory_id AS id, b.memory_id AS other, 0 AS priority, 1.0 AS score, 'content' AS why FROM m a JOIN m b ON a.space = b.space AND a.content_sha256 = b.content_sha256 AND a.memory_id > b.memory_id UNION ALL SELECT a.memory_id, b.memory_id, 1, 0.95, 'claim' FROM m a JOIN m b ON a.space = b.space AND a.entity_key = b.entity_key AND a.claim_key = b.claim_key AND a.memory_id > b.memory_id), g AS (SELECT id, other, min(priority) AS priority, CAST(max(score) AS DOUBLE) AS score, string_agg(why, ',' ORDER BY why) AS matched_on FROM c GROUP BY id, other) SELECT id, other, CAST(priority AS BIGINT) AS priority, score, matched_on, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, score DESC, other) AS rank FROM g) WHERE rank <= 5")
+@query("duplicate_report", "WITH m AS (SELECT * FROM mem WHERE status = 'active'), base AS (SELECT memory_id AS id, space, content AS text FROM m), " + RELATED.replace("asks(id)", "CAST(substr(id, 5) AS BIGINT) % 20 = 0") + """,
+g AS (SELECT memory_id AS id, 0 AS priority, 1.0 AS score, 'content' AS why, list(memory_id) OVER (PARTITION BY space, content_sha256 ORDER BY memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids FROM m
+ UNION ALL SELECT memory_id, 1, 0.95, 'claim', list(memory_id) OVER (PARTITION BY space, claim_key ORDER BY observed_at DESC, updated_at DESC, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) FROM m
+ UNION ALL SELECT memory_id, 1, 0.75, 'entity', list(memory_id) OVER (PARTITION BY space, entity_key, kind ORDER BY observed_at DESC, updated_at DESC, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) FROM m WHERE entity_key IS NOT NULL),
+c AS (SELECT id, priority, CAST(score AS DOUBLE) AS score, why, unnest(list_filter(ids[1:6], lambda x: x <> id)[1:5]) AS other FROM g UNION ALL SELECT id, 2, least(similarity, 0.94), 'lexical', other FROM related),
+u AS (SELECT id, other, min(priority) AS priority, max(CASE WHEN priority = least_p THEN score END) AS score, string_agg(why, ',' ORDER BY why) AS matched_on FROM (SELECT *, min(priority) OVER (PARTITION BY id, other) AS least_p FROM c) GROUP BY id, other)
+SELECT id, other, CAST(priority AS BIGINT) AS priority, score, matched_on, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, score DESC, other) AS rank FROM u) WHERE rank <= 5""")
 def duplicate_report(spark, sf):
-    m = view(spark, sf, "mem").filter("status = 'active'").select("memory_id", "space", "content_sha256", "entity_key", "claim_key")
-
-    def part(keys, priority, score, why):
-        a, b = m.select(F.col("memory_id").alias("id"), *keys), m.select(F.col("memory_id").alias("other"), *keys)
-        return a.join(b, keys).filter("id > other").select("id", "other", F.lit(priority).cast("long").alias("priority"), F.lit(score).alias("score"), F.lit(why).alias("matched_on"))
-
-    return duplicates.report([part(["space", "content_sha256"], 0, 1.0, "content"), part(["space", "entity_key", "claim_key"], 1, 0.95, "claim")])
+    """All four arms; the lexical one for records whose number is divisible by 20."""
+    m = view(spark, sf, "mem").filter("status = 'active'")
+    return duplicates.candidates(m, m.filter("doc_id % 20 = 0"))
 
 
 # --- scalar functions --------------------------------------------------------------
 SLUGSTOP = ", ".join(f"'{w}'" for w in X.SLUG_STOPWORDS)
 
 
-@query("entity_slugs", f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(trim(text)), '^[a-z]+:', ''), '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2 AND x NOT IN ({SLUGSTOP})) AS w FROM documents) SELECT doc_id, nullif(regexp_replace(substr(array_to_string(w[1:6], '-'), 1, 80), '-+$', ''), '') AS slug FROM w")
+@query("entity_slugs", f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(trim(text)), '^[a-z]+:', ''), '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2 AND x NOT IN ({SLUGSTOP})) AS w FROM documents) SELECT doc_id, nullif(regexp_replace(list_max(list_filter(list_transform(range(0, 81), lambda n: substr(array_to_string(w[1:6], '-'), 1, CAST(n AS BIGINT))), lambda x: strlen(x) <= 80)), '-+$', ''), '') AS slug FROM w")
 def entity_slugs(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.entity_slug(F.col("text")).alias("slug"))
 
@@ -371,11 +472,33 @@ def folded_terms(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
 
 
-@query("claim_fingerprints")
+@query("claim_fingerprints", "WITH x AS (SELECT doc_id, hex(encode(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))) AS h FROM documents), b AS (SELECT doc_id, list_transform(regexp_extract_all(h, '..'), lambda y: CAST(('0x' || y) AS HUGEINT)) AS b FROM x) SELECT doc_id, lower(format('{:016x}', CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), b), lambda p, q: (xor(p, q) * 1099511628211) % 18446744073709551616) AS UBIGINT))) AS claim_key FROM b")
 def claim_fingerprints(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.fingerprint(F.col("text")).alias("claim_key"))
 
 
+@query("hex_round_trip", "SELECT doc_id, lower(hex(encode(text))) AS hex, true AS equal FROM documents")
+def hex_round_trip(spark, sf):
+    h = X.to_hex(F.encode("text", "UTF-8"))
+    return read(spark, sf, "documents").select("doc_id", h.alias("hex"), (F.decode(X.from_hex(F.upper(h)), "UTF-8") == F.col("text")).alias("equal"))
+
+
+# Fixed values, as in functions/text.py, for the SQL side.
+ASKSTOP = ", ".join(f"'{w}'" for w in X.QUESTION_STOPWORDS)
+KEYWORDS = f"""WITH k AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'temporal' WHEN 1 THEN 'adversarial' ELSE 'open' END AS category, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: lower(trim(w, '.,?!:;()[]{{}}"''`\\/'))), lambda w: length(w) > 2 AND w NOT IN ({ASKSTOP}))[1:10], ' ') AS q FROM conversations) """
+
+
+@query("keyword_queries", KEYWORDS + "SELECT conv_id, turn, q FROM k")
+def keyword_queries(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", X.keyword_query(F.col("text")).alias("q"))
+
+
+@query("query_bundles", KEYWORDS + ", b AS (SELECT conv_id, turn, trim(text) AS a, trim(q) AS b, CASE category WHEN 'temporal' THEN trim(q || ' date time when conversation') WHEN 'adversarial' THEN trim(q || ' no information available') ELSE '' END AS c FROM k) SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN a <> '' THEN a END, CASE WHEN b <> '' AND b <> a THEN b END, CASE WHEN c <> '' AND c <> b AND c <> a THEN c END], lambda x: x IS NOT NULL), ' | ') AS queries FROM b")
+def query_bundles(spark, sf):
+    category = F.when(F.col("turn") % 3 == 0, "temporal").when(F.col("turn") % 3 == 1, "adversarial").otherwise("open")
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.query_bundle(F.col("text"), category), " | ").alias("queries"))
+
+
 @query("vector_blob_round_trip", "SELECT vec_id, true AS equal FROM embeddings")
 def vector_blob_round_trip(spark, sf):
     v = read(spark, sf, "embeddings")

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import duplicates, filters, fulltext, graph, lifecycle, ranking, rerank, vectors
+from .operators import duplicates, filters, fulltext, graph, lifecycle, links, ranking, rerank, vectors
 from .sources import archive
 from .sources.tables import SCHEMAS, Tables
 
-#: Silos of each new space and their policy.
+# Silos of each new space and their policy, and the order of maintenance tasks.
 SILOS = {"durable": "keep", "short-term": "ttl"}
 TASKS = ["promote", "expire", "reindex", "dedupe", "link", "graph"]
 
@@ -91,17 +91,14 @@ class Store:
 
     def candidates_for(self, rows: DataFrame) -> DataFrame:
         """Write-time duplicate report of the active memories `rows` (memory_id)."""
-        m = self.memories(["*"]).select("memory_id", "space", "content_sha256", "entity_key", "claim_key", "kind")
-        mine = m.join(rows.select("memory_id").distinct(), "memory_id", "left_semi")
-
-        def part(keys, priority, score, why):
-            pairs = mine.select(F.col("memory_id").alias("id"), *keys).join(m.select(F.col("memory_id").alias("other"), *keys), keys).filter("id <> other")
-            return pairs.select("id", "other", F.lit(priority).cast("long").alias("priority"), F.lit(score).alias("score"), F.lit(why).alias("matched_on"))
-
-        return duplicates.report([part(["space", "content_sha256"], 0, 1.0, "content"), part(["space", "entity_key", "claim_key"], 1, 0.95, "claim"), part(["space", "entity_key", "kind"], 1, 0.75, "entity")])
+        m = self.memories(["*"])
+        ids = rows.select("memory_id").distinct()
+        return duplicates.candidates(m, m.join(ids, "memory_id", "left_semi")).join(ids.withColumnRenamed("memory_id", "id"), "id", "left_semi")
 
     def memories(self, spaces: list[str] | None = None, statuses: list[str] | None = None, **columns) -> DataFrame:
-        return self.tables.read("memories").filter(filters.spaces(spaces) & filters.statuses(statuses) & filters.within(**columns))
+        tags = filters.values(columns.pop("tags", None))
+        m = self.tables.read("memories").filter(filters.spaces(spaces) & filters.statuses(statuses) & filters.within(**columns))
+        return m.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags)))) if tags else m
 
     def memory_list(self, limit: int = 50, offset: int = 0, order: str = "updated_desc", **where) -> DataFrame:
         by = {"updated_desc": "updated_at", "observed_desc": "observed_at", "created_desc": "created_at"}[order]
@@ -135,34 +132,42 @@ class Store:
         self.tables.write("memories", m.withColumn("accessed_at", F.greatest("accessed_at", "_ts")))
 
     # --- retrieval ------------------------------------------------------------------
-    def search(self, queries: DataFrame, at: dt.datetime, limit: int = 10, **where) -> DataFrame:
-        """queries: query_id, text.  Tiered lexical search with final scores."""
+    def _score(self, relevance, at: dt.datetime, alias_hit, where: dict):
+        """Relevance, metadata hits of what the request filters by, recency, scope, status, pin and source tier."""
+        tags = F.coalesce("tags", F.array().cast("array<string>"))
+        found = ranking.hits(where.get("kind") or (), where.get("entity_key") or (), where.get("claim_key") or (), where.get("tags") or ())
+        score = relevance + ranking.metadata(F.col("confidence"), *found, alias_hit) + ranking.recency(F.greatest("updated_at", "observed_at"), F.col("silo"), F.lit(at))
+        return score + ranking.standing(where.get("scope") or ()) + ranking.source_tier(F.coalesce(F.get_json_object("source_json", "$.type"), F.lit("")), tags)
+
+    def search(self, queries: DataFrame, at: dt.datetime, limit: int = 10, include_source: bool = False, **where) -> DataFrame:
+        """queries: query_id, text.  Tiered lexical search with final scores.  With include_source the
+        sources of records are searched too, with statistics of their own."""
         m = self.memories(**where).filter(lifecycle.visible(F.lit(at)))
-        docs = m.select(F.col("memory_id").alias("id"), F.concat_ws("\n\n", "summary", "content").alias("text"))
+        docs = m.select(F.col("memory_id").alias("id"), F.concat_ws("\n\n", "summary", "content", *(["source_json"] if include_source else [])).alias("text"))
         pool = fulltext.tiered(docs, queries, limit).drop("rank")
         best = pool.groupBy("query_id").agg(F.min("bm25").alias("best"))
         alias = queries.select("query_id", X.shingles(F.regexp_extract_all(X.ascii_lower(F.col("text")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("q_shingles"), X.query_terms(F.col("text")).alias("q_terms"))
         rows = pool.join(best, "query_id").join(m.withColumnRenamed("memory_id", "id"), "id").join(alias, "query_id")
         tags = F.coalesce("tags", F.array().cast("array<string>"))
         boost = F.exists(tags, lambda t: t.startswith("alias::") & F.array_contains("q_shingles", F.substring(t, 8, 300)))
-        no = F.lit(False)
-        score = ranking.relative(F.col("bm25"), F.col("best")) + ranking.metadata(F.col("confidence"), no, no, no, no, boost) + ranking.recency(F.greatest("updated_at", "observed_at"), F.col("silo"), F.lit(at))
-        score = score + F.when(F.col("status") == "active", 0.02).otherwise(0.0) + F.when(F.col("pinned"), 0.05).otherwise(0.0) + ranking.source_tier(F.coalesce(F.get_json_object("source_json", "$.type"), F.lit("")), tags)
+        score = self._score(ranking.relative(F.col("bm25"), F.col("best")), at, boost, where)
         out = ranking.top_k(rows.withColumn("score", F.round(score, 9)), "query_id", [F.asc("tier"), F.desc("score"), F.desc("observed_at"), F.asc("id")], limit)
         return out.select("query_id", F.col("id").alias("memory_id"), "rank", "tier", "score", "space", "kind", X.snippet(F.col("content"), F.col("q_terms"), 160).alias("snippet"), "content")
 
-    def semantic_search(self, queries: DataFrame, limit: int = 10, **where) -> DataFrame:
-        """queries: query_id, embedding.  The filters come after the nearest."""
+    def semantic_search(self, queries: DataFrame, at: dt.datetime, limit: int = 10, **where) -> DataFrame:
+        """queries: query_id, embedding.  The filters come after the nearest; final scores as in search()."""
         every = self.tables.read("memories").filter("embedding is not null").select(F.col("memory_id").alias("id"), "embedding")
         near = vectors.knn(queries, every, ranking.pool_size(limit)).drop("rank")
-        kept = near.join(self.memories(**where).select(F.col("memory_id").alias("id")), "id", "left_semi").withColumn("score", vectors.semantic_score(F.col("distance")))
-        return ranking.top_k(kept, "query_id", [F.asc("distance"), F.asc("id")], limit).withColumnRenamed("id", "memory_id")
+        kept = near.join(self.memories(**where).withColumnRenamed("memory_id", "id"), "id")
+        kept = kept.withColumn("score", F.round(self._score(vectors.semantic_score(F.col("distance")), at, F.lit(False), where), 9))
+        out = ranking.top_k(kept, "query_id", [F.desc("score"), F.desc("observed_at"), F.asc("id")], limit)
+        return out.select("query_id", F.col("id").alias("memory_id"), "rank", "distance", "score", "space", "kind", "content")
 
     def pool_trace(self, queries: DataFrame, at: dt.datetime, cap: int = 16, **where) -> DataFrame:
         """Candidates of both arms interleaved, with the arm of admission and what the cap dropped."""
         lists = self.search(queries.select("query_id", "text"), at, ranking.pool_size(cap), **where).select("query_id", F.col("memory_id").alias("id"), "rank", F.lit(1).alias("arm"))
         if "embedding" in queries.columns:
-            lists = lists.unionByName(self.semantic_search(queries.select("query_id", "embedding"), ranking.pool_size(cap), **where).select("query_id", F.col("memory_id").alias("id"), "rank", F.lit(0).alias("arm")))
+            lists = lists.unionByName(self.semantic_search(queries.select("query_id", "embedding"), at, ranking.pool_size(cap), **where).select("query_id", F.col("memory_id").alias("id"), "rank", F.lit(0).alias("arm")))
         return ranking.interleave(lists, "query_id", "arm", 1_000_000_000).withColumn("dropped", F.when(F.col("position") > cap, "hybrid_cap"))
 
     def pack(self, queries: DataFrame, at: dt.datetime, budget: int = 8000, limit: int = 20, min_score: float = 0.0, **where) -> DataFrame:
@@ -302,12 +307,9 @@ class Store:
                 w = Window.partitionBy("space", "content_sha256")
                 found, change = m.filter("status = 'active'").withColumn("canonical", F.first("memory_id").over(w.orderBy(F.desc("pinned"), "memory_id"))).filter("memory_id <> canonical").select("memory_id", "canonical"), {}
             elif task == "link":
-                t = m.filter("status = 'active' and entity_key is not null").select("memory_id", "space", "entity_key", F.explode("tags").alias("tag"))
-                few = t.groupBy("space", "tag").agg(F.count_distinct("memory_id").alias("df")).filter("df <= 25").select("space", "tag")
-                k = t.join(few, ["space", "tag"])
-                p = k.alias("a").join(k.alias("b"), ["space", "tag"]).filter("a.memory_id < b.memory_id and a.entity_key <> b.entity_key")
-                found = p.groupBy(F.col("a.memory_id").alias("src"), F.col("b.memory_id").alias("dst")).agg(F.count("*").alias("n")).filter("n >= 2").select("src", "dst", F.lit("related_to").alias("link_type"), (F.col("n") / (F.col("n") + 1)).alias("confidence"))
-                found, change = found.join(self.tables.read("links").select("src", "dst"), ["src", "dst"], "left_anti"), {}
+                tagged = m.select("memory_id", "space", "entity_key", "status", F.explode("tags").alias("tag"))
+                found = links.tag_links(tagged).select("src", "dst", F.lit("related_to").alias("link_type"), "confidence")
+                found, change = links.new_links(found, self.tables.read("links")), {}
                 if not dry_run:
                     self.tables.append("links", found.withColumn("created_at", F.lit(at)))
             elif task == "graph":

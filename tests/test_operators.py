@@ -18,8 +18,11 @@ def rows(df, *cols):
 def test_maxsim(spark):
     q = spark.createDataFrame([(1, [[1.0, 0.0], [0.0, 1.0]])], "query_id long, tokens array<array<double>>")
     d = spark.createDataFrame([("A", [[1.0, 0.0], [0.0, 1.0], [0.7, 0.7]]), ("B", [[-1.0, 0.0]])], "id string, tokens array<array<double>>")
-    got = {r.id: r.score for r in vectors.maxsim(q, d).collect()}
+    got = {r.id: r.score for r in vectors.maxsim(q, d, 5).collect()}
     assert got["A"] == 2.0 and got["A"] > got["B"]
+    assert [r.id for r in vectors.maxsim(q, d, 1).collect()] == ["A"]
+    asked, v = q.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0))), spark.createDataFrame([("B", [1.0, 0.0])], "id string, embedding array<double>")
+    assert rows(vectors.late_interaction(asked, d, v, 2).orderBy("rank"), "id", "distance") == [("B", 0.0), ("A", 2.0)]
 
 
 @pytest.mark.parametrize("cap,want", [(10, "abdc"), (2, "ab")])
@@ -108,7 +111,9 @@ def test_expand(spark):
 
 def test_duplicates(spark):
     d = spark.createDataFrame([(1, "s", "alpha beta gamma delta"), (2, "s", "alpha beta gamma other"), (3, "t", "alpha beta gamma delta"), (4, "s", "unrelated words here")], "id int, space string, text string")
-    assert rows(duplicates.lexical_pairs(d), "id", "other") == [(1, 2)]
+    assert sorted(rows(duplicates.lexical_related(d, d), "id", "other")) == [(1, 2), (2, 1)]
+    few = duplicates.first_others(d.withColumn("g", F.lit(1)), ["g"], "id", 2)
+    assert sorted(rows(few, "id", "other", "k")) == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2), (4, 1, 1), (4, 2, 2)]
 
 
 def test_archive_round_trip(spark, tmp_path):
@@ -155,3 +160,68 @@ def test_knn_in_slices(spark, sf, monkeypatch):
     want = sorted(rows(vectors.knn(q, v, 3), "query_id", "id", "rank"))
     monkeypatch.setattr(vectors, "MOST_NUMBERS", 500)
     assert sorted(rows(vectors.knn(q, v, 3), "query_id", "id", "rank")) == want
+
+
+def test_timestamps(spark):
+    from mnemospark.operators import integrity
+
+    good = {"2024-02-29T00:00:00Z": "2024-02-29T00:00:00.000Z", "2000-02-29T23:59:59.98765Z": "2000-02-29T23:59:59.987Z", "2024-12-31T10:00:00.1Z": "2024-12-31T10:00:00.100Z"}
+    bad = ["2023-02-29T00:00:00Z", "1900-02-29T00:00:00Z", "2024-04-31T00:00:00Z", "2024-01-01T24:00:00Z", "2024-01-01T00:60:00Z", "2024-01-01T00:00:00", "2024-01-01T00:00:00.Z", "2024-01-01T00:00:00Z\n", "2024-00-10T00:00:00Z", "", None]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "t string")
+    got = {r.t: (r.ok, r.n) for r in df.select("t", integrity.valid_timestamp(F.col("t")).alias("ok"), integrity.normal_timestamp(F.col("t")).alias("n")).collect()}
+    assert got == {t: (True, n) for t, n in good.items()} | {t: (False, None) for t in bad}
+
+
+def test_integrity_rules(spark):
+    from mnemospark.operators import integrity
+
+    v = spark.createDataFrame([("v1", "m1", "a", "{}"), ("v2", "mX", " ", "[1]"), ("v3", "m3", "b", None)], "version_id string, memory_id string, content string, source_ref_json string")
+    v = v.withColumn("content_sha256", F.when(F.col("version_id") == "v3", "0").otherwise(F.sha2("content", 256))).withColumn("summary", F.lit("s"))
+    assert sorted(rows(integrity.versions(v), "version_id", "broken")) == [("v2", "blank,source"), ("v3", "hash")]
+    m = spark.createDataFrame([("m1", "v1"), ("m2", "v2"), ("m3", None)], "memory_id string, active_version_id string")
+    assert sorted(rows(integrity.active_versions(m, v), "memory_id")) == [("m2",), ("m3",)]
+    r = spark.createDataFrame([("v1", "t"), ("v9", "t")], "version_id string, text string").withColumn("text_sha256", F.sha2("text", 256))
+    assert rows(integrity.representations(r, v), "version_id", "broken") == [("v9", "no_version")]
+    t = spark.createDataFrame([("m1", "a"), ("m1", "a"), ("m2", " b"), ("m3", "c")], "memory_id string, tag string")
+    assert sorted(rows(integrity.tags(t), "memory_id", "broken")) == [("m1", "repeated"), ("m2", "form")]
+
+
+def test_tag_links(spark):
+    from mnemospark.operators import links
+
+    tags = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("c", "x"), ("a", "Decision"), ("c", "Decision"), ("a", "session:1"), ("c", "session:1")]
+    t = spark.createDataFrame([(m, "s", f"e{m}", "active", g) for m, g in tags], "memory_id string, space string, entity_key string, status string, tag string")
+    found = links.tag_links(t)
+    assert rows(found, "src", "dst", "shared", "tags") == [("a", "b", 2, "x,y")]
+    assert links.tag_links(t, most=2).count() == 0  # x is on three records, y alone is left
+    assert links.new_links(found, spark.createDataFrame([("b", "a")], "src string, dst string")).count() == 0
+    assert rows(links.entity_links(found, t.select("memory_id", "entity_key").distinct()), "subject", "object", "evidence") == [("ea", "eb", 1)]
+
+
+def test_decided(spark):
+    s = spark.createDataFrame([(1, 10), (2, 10), (3, 10)], "candidate_id int, submitted_at int")
+    d = spark.createDataFrame([(1, 12, 1, "approved"), (1, 13, 2, "rejected"), (2, 9, 3, "approved"), (2, 11, 4, None), (3, 12, 6, "rejected"), (3, 12, 5, "quarantined"), (9, 20, 7, "approved")], "candidate_id int, at int, seq int, decision string")
+    assert sorted(rows(lifecycle.decided(s, d), "candidate_id", "status")) == [(1, "approved"), (2, "pending"), (3, "quarantined")]
+
+
+def test_graph_capture(spark):
+    e = [(1, "s", "new", "Old Name", []), (1, "s", "k2", "x", ["Second"]), (2, "s", "a", "Twin", []), (2, "s", "b", "z", []), (3, "s", "k1", "n", []), (3, "s", "other", "old  name", [])]
+    e = spark.createDataFrame(e, "capture_id int, space string, entity_key string, canonical_name string, aliases array<string>")
+    r = spark.createDataFrame([(1, "new", "k2", "likes", 0.5), (2, "a", "a", "related_to", 2.0), (2, "a", "q", "x", 1.0)], "capture_id int, subject string, object string, rel_type string, confidence double")
+    known = spark.createDataFrame([("s", "k1", "old name"), ("s", "k2", "second"), ("s", "t1", "twin"), ("s", "t2", "TWIN"), ("u", "z", "z")], "space string, entity_key string, surface string")
+    keys, errors = graph.capture(e, r, known)
+    assert sorted(rows(keys, "capture_id", "entity_key", "resolved_key")) == [(1, "k2", "k2"), (1, "new", "k1"), (2, "a", "t1"), (2, "b", "b"), (3, "k1", "k1"), (3, "other", "k1")]
+    assert sorted(rows(errors, "capture_id", "errors")) == [(1, None), (2, "ambiguous,confidence,self_loop,undeclared,untyped"), (3, "same_entity")]
+
+
+def test_bm25_groups_and_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 11} common", "g" + str(k % 2)) for k in range(200)], "id int, text string, space string")
+    q = spark.createDataFrame([(k, f"w{k} common", "g" + str(k % 2)) for k in range(6)], "query_id int, text string, space string")
+    whole = sorted(rows(fulltext.scored(docs, q, 500), "query_id", "id", "bm25"))
+    own = sorted(rows(fulltext.scored(docs, q, 500, group="space"), "query_id", "id", "bm25"))
+    assert own == [x for x in whole if x[0] % 2 == x[1] % 2] and len(own) == 600
+    monkeypatch.setattr(fulltext, "QUERIES", 2)
+    monkeypatch.setattr(fulltext, "BLOCK", 16)
+    assert sorted(rows(fulltext.scored(docs, q, 500), "query_id", "id", "bm25")) == whole
+    best = {x[:2] for x in whole if x[0] == 3 and x[2] <= sorted(y[2] for y in whole if y[0] == 3)[4]}
+    assert best <= {x[:2] for x in rows(fulltext.bm25(docs, q, 5), "query_id", "id")}
