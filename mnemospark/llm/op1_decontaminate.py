@@ -231,6 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     for sent, only in _by_slice(whole, benchmark, threshold, text_col):
 
         def clean(batches, sent=sent):
+            shared.trim()
             for b in batches:
                 yield b.filter(pa.array([not sent.value.find(t.as_py(), threshold) for t in b.column(at)], pa.bool_()))
 

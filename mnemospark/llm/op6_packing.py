@@ -85,6 +85,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str =
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
+        shared.trim()
         tok, matrix = wordcache.load(tokenizer), projection()
         for b in batches:
             for c in range(0, b.num_rows, 256):

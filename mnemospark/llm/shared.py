@@ -89,6 +89,19 @@ def fresh(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Give the memory that earlier tasks of this Python worker have freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mapped(df: DataFrame, function, *more: T.StructField) -> DataFrame:
     """df.mapInArrow(function) for a function that keeps df's columns, whatever their names, and adds `more`."""
     names = [f"c{k}" for k in range(len(df.columns) + len(more))]

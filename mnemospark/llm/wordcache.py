@@ -24,7 +24,7 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE = 600_000
+CACHE = 300_000
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|  |\n\n| \n|\n ")
 _LOADED: dict[tuple[str, int], "WordCache"] = {}
 
