@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import shared, wordcache
 
-LENGTH, FEATURES, DIMS, BITS = 2048, 256, 4, 15
+LENGTH, FEATURES, DIMS, BITS, CACHE = 2048, 256, 4, 15, 300_000
 #: Tokens in a row of the sort: longer documents are rows of several segments, so rows
 #: and with them range partitions are of bounded size.
 SEGMENT = 4 * LENGTH
@@ -86,7 +86,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str =
 
     def run(batches):
         shared.trim()
-        tok, matrix = wordcache.load(tokenizer), projection()
+        tok, matrix = wordcache.load(tokenizer, CACHE), projection()
         for b in batches:
             for c in range(0, b.num_rows, 256):
                 part = b.slice(c, 256)

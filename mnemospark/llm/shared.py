@@ -110,13 +110,14 @@ def mapped(df: DataFrame, function, *more: T.StructField) -> DataFrame:
     return plain.toDF(*df.columns, *(f.name for f in more))
 
 
-def partitions(df: DataFrame, target: int = 32 << 20) -> int:
-    """A number of partitions by df's size in its files: about `target` bytes each, from 20,000
-    partitions on up to half a gigabyte each.  Where the size is unknown, Spark's default."""
+def partitions(df: DataFrame) -> int:
+    """A number of partitions by df's size in its files: about the session's advisory size each, from
+    20,000 partitions on up to half a gigabyte each.  Where the size is unknown, Spark's default."""
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= 1 << 60:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = int(spark._jsparkSession.sessionState().conf().getConf(spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES()))
     return max(1, min(-(-size // target), max(20_000, -(-size // (512 << 20)))))
 
 
