@@ -36,6 +36,8 @@ GROUP, BLOCK, ESCAPE, MOST = 1 << 19, 1024, 15, 60
 #: Values in a word, bits of each, by selector 0 to 13 (14 is free).
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([n for n, _ in SELECTORS] + [1, 1], dtype=np.int64)
+#: Bits of each small value.
+_BITS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -62,8 +64,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     grid = np.zeros((blocks, BLOCK + MOST), dtype=np.uint64)
     grid[:, :BLOCK] = np.concatenate([values, np.zeros(blocks * BLOCK - n, np.uint64)]).reshape(blocks, BLOCK)
-    small = grid >> np.uint64(32) == 0
-    bits = np.where(small, np.frexp((grid & np.uint64(0xFFFFFFFF)).astype(np.float64))[1], 32 + np.frexp((grid >> np.uint64(32)).astype(np.float64))[1]).astype(np.uint8)
+    if n and int(values.max()) < len(_BITS):
+        bits = _BITS[grid]
+    else:
+        small = grid >> np.uint64(32) == 0
+        bits = np.where(small, np.frexp((grid & np.uint64(0xFFFFFFFF)).astype(np.float64))[1], 32 + np.frexp((grid >> np.uint64(32)).astype(np.float64))[1]).astype(np.uint8)
     most = _sliding(bits)
     pick = np.full(grid.shape, ESCAPE, dtype=np.uint8)
     for s in range(len(SELECTORS) - 1, -1, -1):
@@ -129,11 +134,18 @@ def decode(words: np.ndarray, starts: np.ndarray, escapes: np.ndarray, n: int) -
 def write_group(out, doc_ids: list, ids: list[bytes]) -> int:
     """Append one group; returns its number of ids."""
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    used, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+    if len(flat) and int(flat.max()) < 1 << 22:  # by counting
+        all_times = np.bincount(flat)
+        used = np.flatnonzero(all_times)
+        times, place = all_times[used], np.zeros(len(all_times), dtype=np.int64)
+        place[used] = np.arange(len(used))
+    else:
+        used, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+        flat = np.arange(len(flat))
     order = np.argsort(-times, kind="stable")
     rank = np.empty(len(used), dtype=np.uint64)
     rank[order] = np.arange(len(used), dtype=np.uint64)
-    words, starts, escapes = encode(rank[inverse])
+    words, starts, escapes = encode(rank[place[flat]] if len(flat) else rank)
     out.write(np.array([len(doc_ids), len(flat), len(used), len(starts) - 1, len(words), len(escapes)], dtype="<u8").tobytes())
     out.write(np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes())
     out.write(np.array([d is None for d in doc_ids], dtype="u1").tobytes())

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import shared, wordcache
 
-LENGTH, FEATURES, DIMS, BITS, CACHE = 2048, 256, 4, 15, 300_000
+LENGTH, FEATURES, DIMS, BITS, CACHE = 2048, 256, 4, 15, 400_000
 #: Tokens in a row of the sort: longer documents are rows of several segments, so rows
 #: and with them range partitions are of bounded size.
 SEGMENT = 4 * LENGTH

@@ -27,6 +27,7 @@ CACHE = 600_000
 #: White space beside single spaces and newlines between words, first what ASCII has.
 _ODD_ASCII = ["  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _ODD_FURTHER = [c for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
+_LITTLE = sys.byteorder == "little"
 _LOADED: dict[tuple[str, int], "WordCache"] = {}
 
 
@@ -89,7 +90,8 @@ class WordCache:
         self.model = self.tok.model
         self.pieces = _Dict2(self._piece, cache // 4)
         self.first = _Dict2(self._chunk, max(1000, cache // 8))
-        self.mid = _Dict2(lambda w: self._chunk(" " + w), cache) if self.kind == "gpt2" else _Dict2(self._chunk, cache)
+        self.mid = _Dict2(self._spaced if self.kind == "gpt2" else self._plain, cache)
+        self.space = self.alphabet[32]
         self.newline = self._whole("\n") if self.kind == "gpt2" else b""
         if self.kind != "whole":
             import regex
@@ -122,6 +124,17 @@ class WordCache:
         pieces = self.cut(chunk)
         return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join([self.pieces[p] for p in pieces])
 
+    def _spaced(self, word: str) -> bytes:
+        """A word behind a space, or behind a newline if it begins with one."""
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(self.space + word)]).tobytes() if _LITTLE else self._chunk(" " + word)
+        return self.newline + self.first[word[1:]] if word[:1] == "\n" else self._chunk(" " + word)
+
+    def _plain(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and _LITTLE:
+            return array("I", [t.id for t in self.model.tokenize(word.lower())]).tobytes()
+        return self._chunk(word)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -130,14 +143,18 @@ class WordCache:
             return self._whole(text)
         mid = self.mid
         if self.kind == "wordend":
-            return b"".join([mid[w] for w in text.replace("\n", " ").split(" ")])
-        if text[0].isspace() or text[-1].isspace():
-            return self._whole(text)
-        out, first = [], self.first
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(first[words[0]])
-            out += [mid[w] for w in words[1:]]
-            out.append(self.newline)
-        out.pop()
-        return b"".join(out)
+            words = text.replace("\n", " ").split(" ")
+            out = list(map(mid.get, words))
+        else:
+            if text[0].isspace() or text[-1].isspace():
+                return self._whole(text)
+            words = text.replace("\n", " \n").split(" ")
+            out = list(map(mid.get, words))
+            out[0] = self.first[words[0]]
+        try:
+            k = -1
+            while True:
+                k = out.index(None, k + 1)
+                out[k] = mid[words[k]]
+        except ValueError:  # no word is left
+            return b"".join(out)

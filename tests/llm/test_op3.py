@@ -29,6 +29,16 @@ def test_group_round_trip():
     assert b.tolist() == [8] and m.tolist() == [0] and len(none) == 0
 
 
+def test_group_of_large_ids():
+    ids = np.array([5, 1 << 31, 7, 5, 4_000_000_000], dtype="<u4").tobytes()
+    out = io.BytesIO()
+    out.write(op.MAGIC)
+    op.write_group(out, [1], [ids])
+    out.seek(0)
+    ((_, _, _, flat),) = op.read_groups(out)
+    assert flat.tobytes() == ids
+
+
 def _expected(rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out, start = [], 0
