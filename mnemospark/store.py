@@ -265,7 +265,7 @@ class Store:
 
     def graph_context(self, seeds: DataFrame, depth: int = 1, limit: int = 50) -> DataFrame:
         about = self.memories(["*"]).select("memory_id", F.col("entity_key").alias("node")).filter("node is not null")
-        return graph.context(graph.reach(self._edges(), seeds, depth), self._edges(), about, limit)
+        return graph.context(self._edges(), seeds, about, depth, limit)
 
     def graph_full(self) -> DataFrame:
         return graph.half_edges(self._edges()).groupBy("node").agg(F.count("*").alias("degree"))

@@ -1,6 +1,7 @@
 """Registered queries against their SQL on odd and on crowded tables."""
 
 import os
+import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -39,3 +40,27 @@ def test_entity_mentions_never_sends_the_runs(spark, sf, monkeypatch):
     monkeypatch.setattr(graph, "SENT", 0)  # as if the names were too many
     assert "SortMergeJoin [name" in plan() and "BroadcastHashJoin [name" not in plan()
     equal(spark, "entity_mentions", sf)
+
+
+def test_context_equals_brute_force(spark):
+    dice = random.Random(5)
+    edges = [(f"n{dice.randrange(9)}", f"n{dice.randrange(9)}", f"m{dice.randrange(14)}") for _ in range(16)]
+    about = [(f"m{dice.randrange(20)}", f"n{dice.randrange(9)}") for _ in range(25)]
+    for depth, limit in [(1, 3), (2, 4), (3, 50)]:
+        want = []
+        for seed in [f"n{k}" for k in range(9)]:
+            near = {seed: 0}
+            for hop in range(1, depth + 1):
+                near |= {y: hop for s, o, _ in edges for x, y in ((s, o), (o, s)) if near.get(x, 99) < hop and y not in near}
+            found = [(0, min(near[s], near[o]), m) for s, o, m in edges if s in near and o in near] + [(1, near[n], m) for m, n in about if n in near]
+            best = {m: min(x[:2] for x in found if x[2] == m) for *_, m in found}
+            want += [(seed, m, *best[m], k + 1) for k, m in enumerate(sorted(best, key=lambda m: (*best[m], m))[:limit])]
+        got = graph.context(spark.createDataFrame(edges, "subject string, object string, memory_id string"), spark.createDataFrame([(f"n{k}",) for k in range(9)], "node string"), spark.createDataFrame(about, "memory_id string, node string"), depth, limit)
+        assert sorted(map(tuple, got.select("seed", "memory_id", "arm", "depth", "rank").collect())) == sorted(want)
+
+
+def test_context_of_a_crowded_node_makes_no_pairs(spark):
+    edges = spark.range(20_000).selectExpr("concat('s', id) subject", "'hub' object", "id memory_id")
+    about = spark.range(20_000).selectExpr("id + 1000000 memory_id", "'hub' node")
+    got = graph.context(edges, edges.selectExpr("subject node"), about, 2, 20)  # 400 million pairs, twice, if joined
+    assert got.groupBy("arm").count().collect() == [(0, 400_000)]
