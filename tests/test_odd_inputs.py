@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 
 from compare import TABLES, differ
 from mnemospark import catalog
-from mnemospark.operators import graph
+from mnemospark.operators import fulltext, graph
 
 
 def with_tables(tmp_path, sf, **tables):
@@ -64,3 +64,12 @@ def test_context_of_a_crowded_node_makes_no_pairs(spark):
     about = spark.range(20_000).selectExpr("id + 1000000 memory_id", "'hub' node")
     got = graph.context(edges, edges.selectExpr("subject node"), about, 2, 20)  # 400 million pairs, twice, if joined
     assert got.groupBy("arm").count().collect() == [(0, 400_000)]
+
+
+def test_many_queries_are_answered_in_one_pass(spark, sf, monkeypatch):
+    monkeypatch.setattr(fulltext, "QUERIES", 3)
+    monkeypatch.setattr(fulltext, "BLOCK", 16)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id id", "text", "lang space")
+    found = fulltext.scored(docs, docs.filter("id % 20 = 0").selectExpr("id query_id", "text", "space"), 5, group="space")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    equal(spark, "lexical_duplicates", sf)
