@@ -1,9 +1,12 @@
 """Near-duplicates by word shingles: similarity (Jaccard) of 0.8 and more.
 
 A document is its set of distinct shingles of WIDTH words; equal sets are one node.
-Candidates meet in the buckets of a MinHash index of BANDS keys of ROWS values each; a
-pair of similarity 0.8 shares no key with probability (1 - 0.8^4)^24 = 3e-6, a more
-similar one more rarely.  Every candidate is verified on the sets.
+First candidates are the links of op9's SimHash index (deletion-variant signatures of
+fingerprints over the same shingles, DISTANCE bits): all sets of a fingerprint with the least of
+them, and the least ones of two near fingerprints.  At similarity 0.8 fingerprints differ in more bits than such an
+index can find, so further candidates meet in the buckets of a MinHash index of BANDS keys of ROWS
+values each; a pair of similarity 0.8 shares no key with probability (1 - 0.8^4)^24 = 3e-6, a more
+similar one more rarely.  Every candidate of either index is verified on the sets.
 
 Buckets of the same members are one.  First each set goes to its largest bucket alone, in
 cells of LIMIT sets, each with the bucket's least set, and is compared with all of its
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import op9_simhash, shared
 
-WIDTH, BANDS, ROWS, LIMIT, SLICE, BITS = 5, 24, 4, 128, 256, 1 << 24
+WIDTH, BANDS, ROWS, LIMIT, SLICE, BITS, DISTANCE = 5, 24, 4, 128, 256, 1 << 24, 4
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
 
 
@@ -75,15 +78,17 @@ def row_hash(id_col: str, text_col: str):
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, fp, keys) of each row; row is its row_hash, fp names the set."""
+    """(doc_id, row, fp, keys, sim) of each row; row is its row_hash, fp names the set, sim is its SimHash."""
 
     def run(batches):
         for b in batches:
-            found = [(name(x), keys(x)) for x in (shingles(t.as_py()) for t in b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x for x, _ in found), pa.int64()), pa.array((x for _, x in found), pa.list_(pa.int64()))], names=["doc_id", "row", "fp", "keys"])
+            texts = b.column(2).to_pylist()
+            found = [(name(x), keys(x)) for x in map(shingles, texts)]
+            sims = np.array([op9_simhash.fingerprint(t, WIDTH) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x for x, _ in found), pa.int64()), pa.array((x for _, x in found), pa.list_(pa.int64())), pa.array(sims)], names=["doc_id", "row", "fp", "keys", "sim"])
 
     rows = docs.select(shared.quoted(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("row"), shared.quoted(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, fp long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, fp long, keys array<long>, sim long")
 
 
 def bits(rows: DataFrame, column: str):
@@ -168,22 +173,34 @@ def _verified(dealt: DataFrame) -> DataFrame:
     return dealt.select("fp", "root", "shingles", "key", "cell").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
+def signed(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of sets by the SimHash index over nodes (fp, sim); no more than sets and links."""
+    least = shared.stored(nodes.groupBy("sim").agg(F.min("fp").alias("a"), F.count("*").alias("n")), "set-signatures")
+    same = shared.lookup(nodes.select("fp", "sim"), least, "sim", nodes.count(), listed=True).select("a", F.col("fp").alias("b"))
+    near = shared.stored(op9_simhash.links(least.select(F.col("sim").alias("fp")), DISTANCE), "set-near")
+    ends = least.select("sim", F.col("a").alias("fp"))
+    near = near.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.filter("a <> b").unionByName(near)
+
+
 def links(rows: DataFrame, sets_of) -> DataFrame:
-    """Links (a, b) between the sets of rows (doc_id, row, fp, keys); sets_of(wanted rows) gives (fp, shingles).
+    """Links (a, b) between the sets of rows (doc_id, row, fp, keys, sim); sets_of(wanted rows) gives (fp, shingles).
     Every candidate pair of similarity 0.8 is connected by them, directly or by others."""
-    nodes = shared.stored(rows.groupBy("fp").agg(F.min("row").alias("row"), F.first("keys").alias("keys")), "set-nodes")
+    nodes = shared.stored(rows.groupBy("fp").agg(F.min("row").alias("row"), F.first("keys").alias("keys"), F.min("sim").alias("sim")), "set-nodes")
+    near = shared.stored(signed(nodes), "set-pairs").withColumn("key", F.xxhash64("a", "b"))
+    near = near.select(F.explode(F.array("a", "b")).alias("fp"), "key", F.lit(-1).alias("cell"))
     index = shared.stored(nodes.select("fp", F.explode("keys").alias("key")), "set-index")
     members = [F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
     buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), *members).filter("n > 1").groupBy("n", "least", "h1", "h2").agg(F.min("key").alias("key"))
     buckets = shared.stored(buckets.select("key", "n", "least", F.ceil(F.col("n") / LIMIT).cast("int").alias("chunks")), "set-buckets")
-    met = shared.stored(shared.lookup(index, buckets.withColumn("size", F.col("n")), "key", index.count()), "set-members")
-    wanted = nodes.join(met.select("fp").distinct(), "fp").select("fp", "row")
+    met = shared.stored(shared.lookup(index, buckets.withColumn("size", F.col("n")), "key", index.count(), listed=True), "set-members")
+    wanted = nodes.join(met.select("fp").unionByName(near.select("fp")).distinct(), "fp").select("fp", "row")
     sets = sets_of(wanted).join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
     sets = shared.stored(sets, "sets")
     own = met.groupBy("fp").agg(F.max(F.struct("size", "key", "chunks", "least")).alias("b")).select("fp", "b.*")
     own = shared.stored(own.withColumn("cell", F.pmod(F.xxhash64("fp", "key"), F.col("chunks")).cast("int")), "set-first")
     least = own.select(F.col("least").alias("fp"), "key", "cell").distinct()
-    first = own.select("fp", "key", "cell").unionByName(least).distinct().withColumn("root", F.col("fp"))
+    first = own.select("fp", "key", "cell").unionByName(least).unionByName(near).distinct().withColumn("root", F.col("fp"))
     found = shared.stored(_verified(first.join(sets, "fp")), "set-links")
     whole = own.filter("chunks = 1").groupBy("key").agg(F.count("*").alias("there"), F.first("size").alias("size"), F.max((F.col("fp") == F.col("least")).cast("int")).alias("has"))
     whole = whole.filter(F.col("there") + 1 - F.col("has") == F.col("size")).select("key")
@@ -194,7 +211,7 @@ def links(rows: DataFrame, sets_of) -> DataFrame:
     open_ = open_.withColumn("chunks", F.ceil(F.col("size") / (4 * LIMIT)).cast("int"))  # larger ones: each set goes to all pairs its chunk is in
     mine = F.pmod(F.xxhash64("fp", "key"), F.col("chunks")).cast("int")
     cells = F.explode(F.expr("transform(sequence(0, chunks - 1), x -> least(x, mine) * chunks + greatest(x, mine))"))
-    dealt = shared.lookup(open_.withColumn("mine", mine), split, "key", open_.count()).select("fp", "root", "key", cells.alias("cell"))
+    dealt = shared.lookup(open_.withColumn("mine", mine), split, "key", open_.count(), listed=True).select("fp", "root", "key", cells.alias("cell"))
     return found.unionByName(shared.stored(_verified(dealt.join(sets, "fp")), "set-links"))
 
 
@@ -208,11 +225,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def kept(docs: DataFrame, rows: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with one row left of each class.  Only rows that may have to go are joined with what
     is known of them; the others stay where they are."""
-    named = shared.lookup(rows.select("doc_id", "row", "fp"), classes, "fp", rows.count()).select("doc_id", "row", "root", "component_id")
+    named = shared.lookup(rows.select("doc_id", "row", "fp"), classes, "fp", rows.count(), listed=True).select("doc_id", "row", "root", "component_id")
     each = shared.stored(named.groupBy("row", "root", "component_id").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id")), "set-rows")
     best = each.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("best"))
     best = shared.stored(each.groupBy("root").agg(F.count("*").alias("many")).join(best, "root"), "set-best")
-    last = shared.lookup(each, best, "root", each.count(), "many").withColumn("goes", F.col("row") != F.col("best"))
+    last = shared.lookup(each, best, "root", each.count(), "many", listed=True).withColumn("goes", F.col("row") != F.col("best"))
     last = shared.stored(last.filter("goes or n > 1").select("row", "goes"), "set-verdicts")
     sent = bits(last, "row")
     row, maybe, goes = shared.fresh(docs.columns, "_row", "_maybe", "_goes")

@@ -121,18 +121,23 @@ def partitions(df: DataFrame) -> int:
     return max(1, min(-(-size // target), max(20_000, -(-size // (512 << 20)))))
 
 
-def lookup(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int, many: str = "n") -> DataFrame:
+def lookup(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int, many: str = "n", listed: bool = False) -> DataFrame:
     """rows joined with the one row of `keyed` for their key (inner), safe from hot keys.
 
     `keyed` holds in `many` how many of `rows` have its key.  Keys of more than
     n_rows / HOT rows (at least 100) are fewer than HOT, so their rows of `keyed`
     are broadcast and their rows stay where they are; the others meet in a shuffle.
-    Both inputs should be stored: each is read twice.
+    Both inputs should be stored: each is read twice.  With `listed` the keys of many rows come
+    to the driver (fewer than HOT), and a filter, no join, tells the other rows from theirs.
     """
     at = max(100, n_rows // HOT)
     hot = F.broadcast(keyed.filter(F.col(many) > at).drop(many))
     cold = keyed.filter(F.col(many) <= at).drop(many)
     columns = [quoted(c) for c in [*rows.columns, *(c for c in cold.columns if c != key)]]
+    if listed:
+        keys = [r[0] for r in keyed.filter(F.col(many) > at).select(quoted(key)).collect()]
+        warm = (rows.filter(~quoted(key).isin(keys)) if keys else rows).join(cold, key).select(columns)
+        return rows.join(hot, key).select(columns).unionByName(warm) if keys else warm
     warm = rows.join(hot.select(key), key, "left_anti").join(cold, key)
     return rows.join(hot, key).select(columns).unionByName(warm.select(columns))
 

@@ -66,3 +66,17 @@ def test_large_buckets(spark, monkeypatch):
     text = [f"w{i}" for i in range(200)]
     rows = [(k, edited(r, text, r.randrange(9))) for k in range(150)]
     assert stage(spark, rows) == brute_kept(rows)
+
+
+def test_signatures_name_candidates_before_minhash(spark, monkeypatch):
+    r = random.Random(4)
+    text = [f"w{r.randrange(3000)}" for _ in range(900)]
+    near = " ".join([*text[:-1], "other"])  # within four bits
+    rows = [(1, " ".join(text)), (2, near), (3, " ".join(reversed(text)))]
+    assert bin(op.op9_simhash.fingerprint(rows[0][1], op.WIDTH) ^ op.op9_simhash.fingerprint(near, op.WIDTH)).count("1") <= op.DISTANCE
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op.sketches(docs).select("fp", "sim")
+    names = {x: op.name(op.shingles(t)) for x, t in rows}
+    assert {frozenset(x) for x in op.signed(found).collect()} == {frozenset((names[1], names[2]))}
+    monkeypatch.setattr(op, "keys", lambda found: [])  # no MinHash keys: what is left is the method's
+    assert stage(spark, rows) == [1, 3]
