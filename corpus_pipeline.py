@@ -37,7 +37,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     import public_tokenizers
 
-    return op6_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+    # Executors are near their limit after the stages before, so workers keep a quarter of op6's words.
+    return op6_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, cache=op6_packing.CACHE // 4)
 
 
 STAGES = [

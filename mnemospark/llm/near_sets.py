@@ -81,6 +81,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, row, fp, keys, sim) of each row; row is its row_hash, fp names the set, sim is its SimHash."""
 
     def run(batches):
+        shared.trim()
         for b in batches:
             texts = b.column(2).to_pylist()
             found = [(name(x), keys(x)) for x in map(shingles, texts)]
@@ -111,6 +112,7 @@ def named_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_
     sent = bits(wanted, "row")
 
     def run(batches):
+        shared.trim()
         for b in batches:
             texts = b.column(1).filter(pa.array(may_hold(sent.value, np.asarray(b.column(0)))))
             for k in range(0, len(texts), SLICE):

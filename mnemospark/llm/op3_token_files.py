@@ -182,7 +182,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     def write(batches):
         from pyspark import TaskContext
 
-        shared.trim()
+        shared.trim(tokenizer)
         tok = wordcache.load(tokenizer)
         fs, folder = shared.open_fs(out_dir)
         part = TaskContext.get().partitionId()

@@ -79,14 +79,14 @@ def curve_keys(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((p * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """key, doc_id, start, doc_tokens, ids (little-endian; 2 bytes each if wide = 2, else 4) of each
     segment of each row; all segments of a document have its key."""
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        shared.trim()
-        tok, matrix = wordcache.load(tokenizer, CACHE), projection()
+        shared.trim(tokenizer)
+        tok, matrix = wordcache.load(tokenizer, cache), projection()
         for b in batches:
             for c in range(0, b.num_rows, 256):
                 part = b.slice(c, 256)
@@ -105,10 +105,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str =
     return rows.mapInArrow(run, "key long, doc_id long, start long, doc_tokens long, wide int, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int | None, length: int = LENGTH, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of all sequences; with keep_ids also their ids (little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int | None, length: int = LENGTH, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """The pieces of all sequences; with keep_ids also their ids (little-endian unsigned 32-bit).  A Python
+    worker keeps the ids of about `cache` words, some 400 bytes each; the pieces are the same with any number."""
     path = shared.scratch(docs.sparkSession, "tokens")
-    tokens = shared.stored(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens", path)
+    tokens = shared.stored(tokenized(docs, tokenizer, end_id, id_col, text_col, cache), "tokens", path)
     order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("start")]
     names = [x.split(" ")[0] for x in PIECES.split(", ")]
 

@@ -89,12 +89,16 @@ def fresh(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def trim() -> None:
-    """Give the memory that earlier tasks of this Python worker have freed back to the system."""
+def trim(tokenizer: str | None = None) -> None:
+    """Give the memory that earlier tasks of this Python worker have freed back to the system, with
+    the word caches of tokenizers other than the one that the task is about to use."""
     import ctypes
 
     import pyarrow as pa
 
+    from . import wordcache
+
+    wordcache.forget(tokenizer)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -82,3 +82,18 @@ def test_keep_one_of_equal_ids_with_other_texts(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "q r s t u v w"), (5, "a b c d e f")], "doc_id long, text string")
     assert op9_simhash.keep_one(docs).count() == 2
     assert op5_quality.filter_documents(docs).count() == 0
+
+
+def test_packing_keeps_few_words_in_a_worker(monkeypatch):
+    from mnemospark.llm import op6_packing, shared, wordcache
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    wordcache.load(path, 1000).encode("some words")
+    shared.trim(path)
+    assert (path, 1000) in wordcache._LOADED
+    shared.trim()
+    assert not wordcache._LOADED
+    seen = []
+    monkeypatch.setattr(op6_packing, "pack", lambda *a, **b: seen.append(b))
+    corpus_pipeline.packing(None, None, "")
+    assert seen[0]["cache"] <= 100_000
