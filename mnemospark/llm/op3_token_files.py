@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import shared, wordcache
 
 MAGIC = b"IDS8B-01"
-GROUP, BLOCK, ESCAPE, MOST = 1 << 19, 1024, 15, 60
+GROUP, BLOCK, ESCAPE, MOST, CACHE = 1 << 19, 1024, 15, 60, 900_000
 #: Values in a word, bits of each, by selector 0 to 13 (14 is free).
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([n for n, _ in SELECTORS] + [1, 1], dtype=np.int64)
@@ -183,7 +183,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
         from pyspark import TaskContext
 
         shared.trim(tokenizer)
-        tok = wordcache.load(tokenizer)
+        tok = wordcache.load(tokenizer, CACHE)
         fs, folder = shared.open_fs(out_dir)
         part = TaskContext.get().partitionId()
         name, out, docs_n, ids_n = f"ids-{part:06d}-{uuid.uuid4().hex}.s8b", None, 0, 0

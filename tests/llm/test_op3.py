@@ -63,3 +63,12 @@ def test_edges(spark, tmp_path):
     assert got == _expected([r[:2] for r in rows])
     none = op.write_token_files(docs.limit(0), f"{tmp_path}/b", public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert op.read_token_files(none).count() == 0
+
+
+def test_white_space_is_found_where_the_text_is_cut():
+    """Pairs of white space take no search of their own, and give the library's ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, plain = op.wordcache.load(path, 1000), Tokenizer.from_file(path)
+    assert not {"  ", "\n\n", " \n", "\n "} & set(tok.odd) and op.CACHE > op.wordcache.CACHE
+    for text in ("a  b", "a\n\nb.", "a \nb", "a\n b, c", "É.\n É", "a b\n\n\nc", "ʒe, ª. a.", "word,\nword, word"):
+        assert np.frombuffer(tok.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
